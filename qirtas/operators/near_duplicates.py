@@ -1,0 +1,180 @@
+"""Near-duplicate records: a grouped prefix join on sets of word sequences."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from qirtas.operators.shingles import finish, shingle_sets
+from qirtas.plans.lineage import written
+from qirtas.plans.skew import join_groups, keep_members
+
+#: Cells of the frequency sketch, a constant whatever the input.
+SKETCH_CELLS = 1 << 20
+#: Words of the bitmap of a record's second text, 64 bits each.
+BITMAP_WORDS = 3
+#: Classes of exact copies up to this size are expanded to all pairs; a larger one links each copy to the class's smallest id.
+EXPAND_LIMIT = 50
+
+
+def _sketch(df: DataFrame, n: int) -> np.ndarray:
+    """How often the word sequences of each hash cell occur in all rows: a fixed-size statistic."""
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SKETCH_CELLS, np.int64)
+        for b in batches:
+            _, s = shingle_sets(b["_s"].tolist(), n)
+            total += np.bincount((s % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
+
+    counts = df.select("_s").mapInPandas(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SKETCH_CELLS, np.int64)
+    sketch[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    return sketch
+
+
+def _bitmaps(rows: np.ndarray, s: np.ndarray, n_rows: int) -> list[np.ndarray]:
+    """Parity bitmaps: the bits in which two of them differ bound from below how many elements the sets don't share."""
+    bits = 64 * BITMAP_WORDS
+    at = (finish(s + np.uint64(7)) % np.uint64(bits)).astype(np.int64)
+    parity = (np.bincount(rows * bits + at, minlength=n_rows * bits) & 1).reshape(n_rows, BITMAP_WORDS, 64).astype(np.uint64)
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return [(parity[:, k] * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for k in range(BITMAP_WORDS)]
+
+
+def _set_hash(rows: np.ndarray, s: np.ndarray, n_rows: int, seed: int) -> np.ndarray:
+    out = np.zeros(n_rows, np.uint64)
+    np.add.at(out, rows, finish(s ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))))
+    return out
+
+
+def _signed(batches: Iterator[pd.DataFrame], sketch: np.ndarray, n: int, threshold: float):
+    """Per batch: ids, set sizes, class and group keys, bitmaps, and the ordered sequences with their place in the row."""
+    for b in batches:
+        ids, size = b["_id"].to_numpy(), len(b)
+        rt, st = shingle_sets(b["_t"].tolist(), n)
+        rs, ss = shingle_sets(b["_s"].tolist(), n)
+        order = np.lexsort((ss, sketch[(ss % np.uint64(SKETCH_CELLS)).astype(np.int64)], rs))
+        rs, ss = rs[order], ss[order]
+        n_s, n_t = np.bincount(rs, minlength=size), np.bincount(rt, minlength=size)
+        starts = np.concatenate([[0], np.cumsum(n_s)])[:-1]
+        place = np.arange(len(rs)) - starts[rs]
+        probe = n_s - np.ceil(threshold * n_s - 1e-9).astype(np.int64) + 1
+        inside = place < probe[rs]
+        bitmaps = _bitmaps(rt, st, size)
+        sets = finish(_set_hash(rs, ss, size, 1) + finish(_set_hash(rt, st, size, 2)))
+        # One group: the same prefix and sizes, and the same bitmap, which travels with the group.
+        group = finish(_set_hash(rs[inside], ss[inside], size, 3) + np.uint64(1_000_003) * n_s.astype(np.uint64) + finish(n_t.astype(np.uint64)))
+        for w in bitmaps:
+            group = finish(group ^ w.view(np.uint64))
+        yield ids, n_s, n_t, sets.view(np.int64), group.view(np.int64), bitmaps, rs[inside], ss[inside].view(np.int64), place[inside]
+
+
+def _alike(a: Column, b: Column, threshold: float, n: int) -> Column:
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        size = len(x)
+        both = x.tolist() + y.tolist()
+        r, s = shingle_sets(both, n)
+        n_of = np.bincount(r, minlength=2 * size)
+        r = r % size if size else r
+        order = np.lexsort((s, r))
+        r, s = r[order], s[order]
+        same = np.flatnonzero((r[1:] == r[:-1]) & (s[1:] == s[:-1]))
+        shared = np.bincount(r[same], minlength=size)
+        return pd.Series(shared >= threshold * (n_of[:size] + n_of[size:] - shared) - 1e-9)
+
+    return alike(a, b)
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str, n: int = 3, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` of records alike in both texts.
+
+    ``members``: ``id``, ``class_id`` for every row with both texts; rows with the
+    same sets of word sequences in both texts share a class, named by its smallest id.
+    ``links``: ``class_a`` < ``class_b``, all pairs of classes whose Jaccard
+    similarity is at least ``threshold`` in ``first`` and in ``second``.
+
+    Grouped prefix join. Records with the same prefix, sizes and bitmap collapse
+    into one group before anything is shuffled by sequence. A group posts the
+    rarest sequences of ``first``, ordered by a fixed-size frequency sketch over
+    all rows (any order is exact, a rare-first one is fast). Group pairs that share
+    a posting pass exact filters by size, by position and by the bitmap of
+    ``second``; then members are expanded and verified on their whole texts.
+    Nothing is capped. Texts shorter than ``n`` words count as one sequence. Rows
+    with a null id or text belong to no class; a repeated id counts once per class.
+    """
+    base = df.select(df[id_col].alias("_id"), df[first].alias("_s"), df[second].alias("_t")).where("_id is not null and _s is not null and _t is not null")
+    sketch = _sketch(base, n)
+    broadcast = df.sparkSession.sparkContext.broadcast(sketch)
+
+    def member_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, _, _, sets, group, *_ in _signed(batches, broadcast.value, n, threshold):
+            yield pd.DataFrame({"id": ids, "set_key": sets, "group_key": group})
+
+    def posting_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, n_s, n_t, _, group, bitmaps, rows, token, place in _signed(batches, broadcast.value, n, threshold):
+            _, lead = np.unique(group, return_index=True)
+            keep = np.isin(rows, lead)
+            rows = rows[keep]
+            yield pd.DataFrame({"token": token[keep], "g": group[rows], "place": place[keep].astype(np.int32), "n_s": n_s[rows].astype(np.int32), "n_t": n_t[rows].astype(np.int32)} | {f"b{k}": w[rows] for k, w in enumerate(bitmaps)})
+
+    members = written(base.mapInPandas(member_rows, "id bigint, set_key bigint, group_key bigint"), "members")
+    classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.first("group_key").alias("group_key"), F.count(F.lit(1)).alias("n_rows"))
+    words = ", ".join(f"b{k} bigint" for k in range(BITMAP_WORDS))
+    postings = base.mapInPandas(posting_rows, f"token bigint, g bigint, place int, n_s int, n_t int, {words}")
+    postings = postings.repartition("token").dropDuplicates(["token", "g"])
+    a, b = (postings.select([F.col(c).alias(f"{c}_{x}" if c != "token" else c) for c in postings.columns]) for x in "pi")
+    t = threshold
+    least_s = f"{t / (1 + t)!r} * (n_s_p + n_s_i) - 1e-9"
+    least_t = f"{t / (1 + t)!r} * (n_t_p + n_t_i) - 1e-9"
+    differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
+    condition = F.expr(
+        f"(n_s_p > n_s_i or (n_s_p = n_s_i and g_p < g_i)) and n_s_i >= {t!r} * n_s_p - 1e-9 and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9"
+        f" and place_i < n_s_i - ceil({2 * t / (1 + t)!r} * n_s_i - 1e-9) + 1"
+        f" and 1 + least(n_s_p - place_p - 1, n_s_i - place_i - 1) >= {least_s}"
+        f" and (n_t_p + n_t_i - ({differ})) / 2 >= {least_t}"
+    )
+    group_pairs = a.join(b, "token").where(condition).select(F.least("g_p", "g_i").alias("g_a"), F.greatest("g_p", "g_i").alias("g_b")).distinct()
+    # Groups to classes: other members of a group are expanded here, and pairs within a group added.
+    of_group = classes.select(F.col("group_key"), "class_id")
+    sizes = of_group.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"))
+    group_pairs = written(group_pairs, "group-pairs")
+    left = group_pairs.join(of_group.withColumnRenamed("group_key", "g_a").withColumnRenamed("class_id", "c_a"), "g_a")
+    across = left.join(of_group.withColumnRenamed("group_key", "g_b").withColumnRenamed("class_id", "c_b"), "g_b").select("c_a", "c_b")
+    several = of_group.join(sizes.where("_n > 1"), "group_key")
+    within = several.select("group_key", F.col("class_id").alias("c_a")).join(several.select("group_key", F.col("class_id").alias("c_b")), "group_key").where("c_a < c_b").select("c_a", "c_b")
+    pairs = written(across.unionByName(within).select(F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b")).where("c_a <> c_b"), "class-pairs")
+    involved = pairs.select(F.explode(F.array("c_a", "c_b")).alias("_c")).distinct()
+    texts = keep_members(base, "_id", involved, "_c").dropDuplicates(["_id"])
+    both = pairs.join(texts.select(F.col("_id").alias("c_a"), F.col("_s").alias("s_a"), F.col("_t").alias("t_a")), "c_a")
+    both = both.join(texts.select(F.col("_id").alias("c_b"), F.col("_s").alias("s_b"), F.col("_t").alias("t_b")), "c_b")
+    links = both.where(_alike(F.col("s_a"), F.col("s_b"), t, n) & _alike(F.col("t_a"), F.col("t_b"), t, n)).select(F.col("c_a").alias("class_a"), F.col("c_b").alias("class_b"))
+    membership = join_groups(members, classes.select("set_key", "class_id", "n_rows"), "set_key", "n_rows").select("id", "class_id", "n_rows")
+    return membership, written(links.distinct(), "links")
+
+
+def near_duplicate_pairs(df: DataFrame, id_col: str, first: str, second: str, n: int = 3, threshold: float = 0.5, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
+    """``id_a`` < ``id_b``: rows alike in both texts, copies included.
+
+    Links of :func:`near_duplicate_classes` expanded to rows. A class of exact
+    copies of more than ``expand_limit`` rows is not expanded to all pairs: each of
+    its copies is linked to the class's smallest id, and only that one to other
+    classes, so every link between different texts is there and every copy is
+    reachable. Rows with nulls have no pairs.
+    """
+    membership, links = near_duplicate_classes(df, id_col, first, second, n, threshold)
+    membership = written(membership.distinct(), "membership")
+    shown = membership.where(f"n_rows <= {expand_limit} or id = class_id").select("id", "class_id")
+    twins = membership.where("n_rows > 1")
+    small = twins.where(f"n_rows <= {expand_limit}")
+    copies = small.select("class_id", F.col("id").alias("id_a")).join(small.select("class_id", F.col("id").alias("id_b")), "class_id").where("id_a < id_b").select("id_a", "id_b")
+    star = twins.where(f"n_rows > {expand_limit} and id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    across = links.join(shown.select(F.col("class_id").alias("class_a"), F.col("id").alias("a")), "class_a").join(shown.select(F.col("class_id").alias("class_b"), F.col("id").alias("b")), "class_b")
+    across = across.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    return across.unionByName(copies).unionByName(star)

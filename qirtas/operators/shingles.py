@@ -1,0 +1,65 @@
+"""Sets of word sequences as 64-bit hashes, computed batch-wise on numpy arrays."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+
+import numpy as np
+import xxhash
+
+#: Runs of letters and digits.
+WORD = re.compile(r"[^\W_]+")
+
+_MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def finish(h: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit values."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and where each text begins (one more than texts)."""
+    ids: dict[str, int] = {}
+    flat: list[int] = []
+    starts = [0]
+    for t in texts:
+        flat.extend([ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())])
+        starts.append(len(flat))
+    own = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ids), dtype=np.uint64, count=len(ids))
+    return own[np.array(flat, dtype=np.int64)] if flat else np.zeros(0, np.uint64), np.array(starts, dtype=np.int64)
+
+
+def shingle_sets(texts: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-word sequences of each text: (row of each, hash of each), sorted by row, then hash.
+
+    A text of fewer than ``n`` words has one sequence, all its words; so a text
+    without words has one that only other texts without words share.
+    """
+    h, starts = word_hashes(texts)
+    lengths = np.diff(starts)
+    rows = np.repeat(np.arange(len(texts)), lengths)
+    out_rows, out = [], []
+    if len(h) >= n:
+        size = len(h) - n + 1
+        acc = np.zeros(size, np.uint64)
+        for k in range(n):
+            acc = finish(acc * _MUL[k % 4] + h[k : k + size] + np.uint64(k))
+        inside = rows[:size] == rows[n - 1 :]
+        out_rows.append(rows[:size][inside])
+        out.append(acc[inside])
+    short = np.flatnonzero(lengths < n)
+    if len(short):
+        out_rows.append(short)
+        out.append(np.array([xxhash.xxh64_intdigest(h[starts[i] : starts[i + 1]].tobytes()) for i in short], dtype=np.uint64))
+    r, s = (np.concatenate(out_rows), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.lexsort((s, r))
+    r, s = r[order], s[order]
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+    return r[first], s[first]
