@@ -1,0 +1,6 @@
+"""Queries of this subpackage, and their SQL where there is one."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
