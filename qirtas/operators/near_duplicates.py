@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.operators.shingles import finish, shingle_sets
+from qirtas.operators.shingles import BLOCK, HASH_BITS, finish, shingle_sets, sums_by_row
 from qirtas.plans.lineage import written
 from qirtas.plans.skew import join_groups, keep_members
 
@@ -17,6 +17,8 @@ from qirtas.plans.skew import join_groups, keep_members
 SKETCH_CELLS = 1 << 20
 #: Words of the bitmap of a record's second text, 64 bits each.
 BITMAP_WORDS = 3
+#: Words of the bitmap of the first text, looked at once per pair of groups.
+SOURCE_WORDS = 4
 #: Classes of exact copies up to this size are expanded to all pairs; a larger one links each copy to the class's smallest id.
 EXPAND_LIMIT = 50
 
@@ -27,8 +29,9 @@ def _sketch(df: DataFrame, n: int) -> np.ndarray:
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SKETCH_CELLS, np.int64)
         for b in batches:
-            _, s = shingle_sets(b["_s"].tolist(), n)
-            total += np.bincount((s % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
+            for at in range(0, len(b), BLOCK):
+                _, s = shingle_sets(b["_s"].iloc[at : at + BLOCK].tolist(), n)
+                total += np.bincount((s % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
 
@@ -38,56 +41,53 @@ def _sketch(df: DataFrame, n: int) -> np.ndarray:
     return sketch
 
 
-def _bitmaps(rows: np.ndarray, s: np.ndarray, n_rows: int) -> list[np.ndarray]:
+def _bitmaps(rows: np.ndarray, s: np.ndarray, n_rows: int, words: int) -> list[np.ndarray]:
     """Parity bitmaps: the bits in which two of them differ bound from below how many elements the sets don't share."""
-    bits = 64 * BITMAP_WORDS
+    bits = 64 * words
     at = (finish(s + np.uint64(7)) % np.uint64(bits)).astype(np.int64)
-    parity = (np.bincount(rows * bits + at, minlength=n_rows * bits) & 1).reshape(n_rows, BITMAP_WORDS, 64).astype(np.uint64)
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    return [(parity[:, k] * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for k in range(BITMAP_WORDS)]
-
-
-def _set_hash(rows: np.ndarray, s: np.ndarray, n_rows: int, seed: int) -> np.ndarray:
-    out = np.zeros(n_rows, np.uint64)
-    np.add.at(out, rows, finish(s ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))))
-    return out
-
-
-def _signed(batches: Iterator[pd.DataFrame], sketch: np.ndarray, n: int, threshold: float):
-    """Per batch: ids, set sizes, class and group keys, bitmaps, and the ordered sequences with their place in the row."""
-    for b in batches:
-        ids, size = b["_id"].to_numpy(), len(b)
-        rt, st = shingle_sets(b["_t"].tolist(), n)
-        rs, ss = shingle_sets(b["_s"].tolist(), n)
-        order = np.lexsort((ss, sketch[(ss % np.uint64(SKETCH_CELLS)).astype(np.int64)], rs))
-        rs, ss = rs[order], ss[order]
-        n_s, n_t = np.bincount(rs, minlength=size), np.bincount(rt, minlength=size)
-        starts = np.concatenate([[0], np.cumsum(n_s)])[:-1]
-        place = np.arange(len(rs)) - starts[rs]
-        probe = n_s - np.ceil(threshold * n_s - 1e-9).astype(np.int64) + 1
-        inside = place < probe[rs]
-        bitmaps = _bitmaps(rt, st, size)
-        sets = finish(_set_hash(rs, ss, size, 1) + finish(_set_hash(rt, st, size, 2)))
-        # One group: the same prefix and sizes, and the same bitmap, which travels with the group.
-        group = finish(_set_hash(rs[inside], ss[inside], size, 3) + np.uint64(1_000_003) * n_s.astype(np.uint64) + finish(n_t.astype(np.uint64)))
-        for w in bitmaps:
-            group = finish(group ^ w.view(np.uint64))
-        yield ids, n_s, n_t, sets.view(np.int64), group.view(np.int64), bitmaps, rs[inside], ss[inside].view(np.int64), place[inside]
+    parity = (np.bincount(rows * bits + at, minlength=n_rows * bits) & 1).astype(np.uint8).reshape(n_rows, bits)
+    packed = np.packbits(parity, axis=1, bitorder="little").view(np.int64)
+    return [np.ascontiguousarray(packed[:, k]) for k in range(words)]
+
+
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of 10 bits, which is all that the order of sequences needs."""
+    return np.minimum(np.log2(counts + 1.0) * 24, 1023).astype(np.uint64)
+
+
+def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, threshold: float):
+    """Per block of rows: ids, sizes of both sets, group key, both sets, and the prefix postings (row, token, place)."""
+    for whole in batches:
+        for at in range(0, len(whole), BLOCK):
+            b = whole.iloc[at : at + BLOCK]
+            ids, size = b["_id"].to_numpy(), len(b)
+            rt, st = shingle_sets(b["_t"].tolist(), n)
+            rs, ss = shingle_sets(b["_s"].tolist(), n)
+            n_s, n_t = np.bincount(rs, minlength=size), np.bincount(rt, minlength=size)
+            # Row, frequency and the hash's low 40 bits in one key: one plain sort puts each row's rare sequences first.
+            key = np.sort((rs.astype(np.uint64) << np.uint64(50)) | (scaled[(ss % np.uint64(SKETCH_CELLS)).astype(np.int64)] << np.uint64(40)) | (ss & np.uint64((1 << 40) - 1)))
+            place = np.arange(len(rs)) - (np.cumsum(n_s) - n_s)[rs]
+            inside = place < (n_s - np.ceil(threshold * n_s - 1e-9).astype(np.int64) + 1)[rs]
+            rows, token = rs[inside], finish(key[inside] & np.uint64((1 << 40) - 1))
+            # One group: the same prefix and sizes.
+            group = finish(sums_by_row(rows, token, size) + finish(n_s.astype(np.uint64) * np.uint64(1 << 20) + n_t.astype(np.uint64)))
+            yield ids, n_s, n_t, (group >> np.uint64(32)).astype(np.uint32).view(np.int32), (rs, ss), (rt, st), rows, (token >> np.uint64(32)).astype(np.uint32).view(np.int32), place[inside]
 
 
 def _alike(a: Column, b: Column, threshold: float, n: int) -> Column:
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        size = len(x)
-        both = x.tolist() + y.tolist()
-        r, s = shingle_sets(both, n)
-        n_of = np.bincount(r, minlength=2 * size)
-        r = r % size if size else r
-        order = np.lexsort((s, r))
-        r, s = r[order], s[order]
-        same = np.flatnonzero((r[1:] == r[:-1]) & (s[1:] == s[:-1]))
-        shared = np.bincount(r[same], minlength=size)
-        return pd.Series(shared >= threshold * (n_of[:size] + n_of[size:] - shared) - 1e-9)
+        out, step = [], BLOCK // 2
+        for at in range(0, len(x), step):
+            one, two = x.iloc[at : at + step].tolist(), y.iloc[at : at + step].tolist()
+            size = len(one)
+            r, s = shingle_sets(one + two, n)
+            n_of = np.bincount(r, minlength=2 * size)
+            key = np.sort(((r % size).astype(np.uint64) << np.uint64(HASH_BITS)) | s)
+            same = key[1:][key[1:] == key[:-1]] >> np.uint64(HASH_BITS)
+            shared = np.bincount(same.astype(np.int64), minlength=size)
+            out.append(shared >= threshold * (n_of[:size] + n_of[size:] - shared) - 1e-9)
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return alike(a, b)
 
@@ -100,7 +100,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     ``links``: ``class_a`` < ``class_b``, all pairs of classes whose Jaccard
     similarity is at least ``threshold`` in ``first`` and in ``second``.
 
-    Grouped prefix join. Records with the same prefix, sizes and bitmap collapse
+    Grouped prefix join. Records with the same prefix and sizes collapse
     into one group before anything is shuffled by sequence. A group posts the
     rarest sequences of ``first``, ordered by a fixed-size frequency sketch over
     all rows (any order is exact, a rare-first one is fast). Group pairs that share
@@ -110,48 +110,58 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     with a null id or text belong to no class; a repeated id counts once per class.
     """
     base = df.select(df[id_col].alias("_id"), df[first].alias("_s"), df[second].alias("_t")).where("_id is not null and _s is not null and _t is not null")
-    sketch = _sketch(base, n)
-    broadcast = df.sparkSession.sparkContext.broadcast(sketch)
+    broadcast = df.sparkSession.sparkContext.broadcast(_scaled(_sketch(base, n)))
 
     def member_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, _, _, sets, group, *_ in _signed(batches, broadcast.value, n, threshold):
-            yield pd.DataFrame({"id": ids, "set_key": sets, "group_key": group})
+        for ids, n_s, n_t, group, (rs, ss), (rt, st), *_ in _signed(batches, broadcast.value, n, threshold):
+            size = len(ids)
+            sets = finish(sums_by_row(rs, finish(ss + np.uint64(1)), size) + finish(sums_by_row(rt, finish(st + np.uint64(2)), size)))
+            own = {f"s{k}": w for k, w in enumerate(_bitmaps(rs, ss, size, SOURCE_WORDS))}
+            yield pd.DataFrame({"id": ids, "set_key": sets.view(np.int64), "g": group, "b0": _bitmaps(rt, st, size, BITMAP_WORDS)[0], "n_s": n_s.astype(np.int32)} | own)
 
     def posting_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, n_s, n_t, _, group, bitmaps, rows, token, place in _signed(batches, broadcast.value, n, threshold):
-            _, lead = np.unique(group, return_index=True)
-            keep = np.isin(rows, lead)
+        for ids, n_s, n_t, group, _, (rt, st), rows, token, place in _signed(batches, broadcast.value, n, threshold):
+            bitmaps = _bitmaps(rt, st, len(ids), BITMAP_WORDS)
+            # Copies collapse here already, before anything is shuffled.
+            _, lead = np.unique(np.stack([group.astype(np.int64), bitmaps[0]], axis=1), axis=0, return_index=True)
+            led = np.zeros(len(ids), bool)
+            led[lead] = True
+            keep = led[rows]
             rows = rows[keep]
-            yield pd.DataFrame({"token": token[keep], "g": group[rows], "place": place[keep].astype(np.int32), "n_s": n_s[rows].astype(np.int32), "n_t": n_t[rows].astype(np.int32)} | {f"b{k}": w[rows] for k, w in enumerate(bitmaps)})
+            shape = (place[keep] << 40) | (n_s[rows] << 20) | n_t[rows]
+            yield pd.DataFrame({"token": token[keep], "g": group[rows], "shape": shape} | {f"b{k}": w[rows] for k, w in enumerate(bitmaps)})
 
-    members = written(base.mapInPandas(member_rows, "id bigint, set_key bigint, group_key bigint"), "members")
-    classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.first("group_key").alias("group_key"), F.count(F.lit(1)).alias("n_rows"))
+    own = ", ".join(f"s{k} bigint" for k in range(SOURCE_WORDS))
+    members = written(base.mapInPandas(member_rows, f"id bigint, set_key bigint, g int, b0 bigint, n_s int, {own}").withColumn("group_key", F.xxhash64("g", "b0")).drop("g", "b0"), "members")
+    kept = ["group_key", "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)]]
+    classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), *[F.first(c).alias(c) for c in kept])
     words = ", ".join(f"b{k} bigint" for k in range(BITMAP_WORDS))
-    postings = base.mapInPandas(posting_rows, f"token bigint, g bigint, place int, n_s int, n_t int, {words}")
-    postings = postings.repartition("token").dropDuplicates(["token", "g"])
-    a, b = (postings.select([F.col(c).alias(f"{c}_{x}" if c != "token" else c) for c in postings.columns]) for x in "pi")
+    postings = base.mapInPandas(posting_rows, f"token int, g int, shape bigint, {words}").repartition("token").dropDuplicates(["token", "g", "b0"])
+    columns = ["g", "place", "n_s", "n_t", *[f"b{k}" for k in range(BITMAP_WORDS)]]
+    postings = postings.withColumns({"place": F.shiftright("shape", 40), "n_s": F.shiftright("shape", 20).bitwiseAND(F.lit((1 << 20) - 1)), "n_t": F.col("shape").bitwiseAND(F.lit((1 << 20) - 1))})
+    a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "pi")
     t = threshold
-    least_s = f"{t / (1 + t)!r} * (n_s_p + n_s_i) - 1e-9"
-    least_t = f"{t / (1 + t)!r} * (n_t_p + n_t_i) - 1e-9"
+    share = t / (1 + t)
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
     condition = F.expr(
-        f"(n_s_p > n_s_i or (n_s_p = n_s_i and g_p < g_i)) and n_s_i >= {t!r} * n_s_p - 1e-9 and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9"
-        f" and place_i < n_s_i - ceil({2 * t / (1 + t)!r} * n_s_i - 1e-9) + 1"
-        f" and 1 + least(n_s_p - place_p - 1, n_s_i - place_i - 1) >= {least_s}"
-        f" and (n_t_p + n_t_i - ({differ})) / 2 >= {least_t}"
+        f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r} * n_s_p - 1e-9 and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9"
+        f" and place_i < n_s_i - ceil({2 * share!r} * n_s_i - 1e-9) + 1"
+        f" and 1 + least(n_s_p - place_p - 1, n_s_i - place_i - 1) >= {share!r} * (n_s_p + n_s_i) - 1e-9"
+        f" and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r} * (n_t_p + n_t_i) - 1e-9"
     )
-    group_pairs = a.join(b, "token").where(condition).select(F.least("g_p", "g_i").alias("g_a"), F.greatest("g_p", "g_i").alias("g_b")).distinct()
-    # Groups to classes: other members of a group are expanded here, and pairs within a group added.
-    of_group = classes.select(F.col("group_key"), "class_id")
-    sizes = of_group.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"))
-    group_pairs = written(group_pairs, "group-pairs")
-    left = group_pairs.join(of_group.withColumnRenamed("group_key", "g_a").withColumnRenamed("class_id", "c_a"), "g_a")
-    across = left.join(of_group.withColumnRenamed("group_key", "g_b").withColumnRenamed("class_id", "c_b"), "g_b").select("c_a", "c_b")
-    several = of_group.join(sizes.where("_n > 1"), "group_key")
-    within = several.select("group_key", F.col("class_id").alias("c_a")).join(several.select("group_key", F.col("class_id").alias("c_b")), "group_key").where("c_a < c_b").select("c_a", "c_b")
-    pairs = written(across.unionByName(within).select(F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b")).where("c_a <> c_b"), "class-pairs")
+    group_pairs = a.join(b, "token").where(condition).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b")).distinct()
+    # Groups to classes: a group's members are expanded here, and pairs within a group added.
+    fields = ["class_id", "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)]]
+    side_a = classes.select(F.col("group_key").alias("g_a"), *[F.col(c).alias(f"{c}_a") for c in fields])
+    side_b = classes.select(F.col("group_key").alias("g_b"), *[F.col(c).alias(f"{c}_b") for c in fields])
+    across = group_pairs.join(side_a, "g_a").join(side_b, "g_b").drop("g_a", "g_b")
+    several = classes.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("group_key").alias("g_a"))
+    within = several.join(side_a, "g_a").join(side_b.withColumnRenamed("g_b", "g_a"), "g_a").where("class_id_a < class_id_b").drop("g_a")
+    differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SOURCE_WORDS))
+    likely = across.unionByName(within).where(f"class_id_a <> class_id_b and (n_s_a + n_s_b - ({differ})) / 2 >= {share!r} * (n_s_a + n_s_b) - 1e-9")
+    pairs = written(likely.select(F.least("class_id_a", "class_id_b").alias("c_a"), F.greatest("class_id_a", "class_id_b").alias("c_b")), "class-pairs")
     involved = pairs.select(F.explode(F.array("c_a", "c_b")).alias("_c")).distinct()
-    texts = keep_members(base, "_id", involved, "_c").dropDuplicates(["_id"])
+    texts = keep_members(base, "_id", involved, "_c")
     both = pairs.join(texts.select(F.col("_id").alias("c_a"), F.col("_s").alias("s_a"), F.col("_t").alias("t_a")), "c_a")
     both = both.join(texts.select(F.col("_id").alias("c_b"), F.col("_s").alias("s_b"), F.col("_t").alias("t_b")), "c_b")
     links = both.where(_alike(F.col("s_a"), F.col("s_b"), t, n) & _alike(F.col("t_a"), F.col("t_b"), t, n)).select(F.col("c_a").alias("class_a"), F.col("c_b").alias("class_b"))

@@ -35,31 +35,45 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return own[np.array(flat, dtype=np.int64)] if flat else np.zeros(0, np.uint64), np.array(starts, dtype=np.int64)
 
 
+#: Bits of a sequence's hash; the row's place in its block fills the rest of a 64-bit key.
+HASH_BITS = 50
+#: Rows of a block.
+BLOCK = 1 << (64 - HASH_BITS)
+_MASK = np.uint64((1 << HASH_BITS) - 1)
+
+
 def shingle_sets(texts: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word sequences of each text: (row of each, hash of each), sorted by row, then hash.
+    """Distinct n-word sequences of each text: (row of each, 50-bit hash of each), sorted by row, then hash.
 
-    A text of fewer than ``n`` words has one sequence, all its words; so a text
-    without words has one that only other texts without words share.
+    Takes up to BLOCK texts. A text of fewer than ``n`` words has one sequence, all
+    its words; so a text without words has one that only other such texts share.
     """
+    if len(texts) > BLOCK:
+        raise ValueError(f"at most {BLOCK} texts")
     h, starts = word_hashes(texts)
     lengths = np.diff(starts)
-    rows = np.repeat(np.arange(len(texts)), lengths)
-    out_rows, out = [], []
+    rows = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    keys = []
     if len(h) >= n:
         size = len(h) - n + 1
         acc = np.zeros(size, np.uint64)
         for k in range(n):
-            acc = finish(acc * _MUL[k % 4] + h[k : k + size] + np.uint64(k))
+            acc = (acc ^ (acc >> np.uint64(31))) * _MUL[k % 4] + h[k : k + size]
         inside = rows[:size] == rows[n - 1 :]
-        out_rows.append(rows[:size][inside])
-        out.append(acc[inside])
+        keys.append((rows[:size][inside] << np.uint64(HASH_BITS)) | (finish(acc[inside]) & _MASK))
     short = np.flatnonzero(lengths < n)
     if len(short):
-        out_rows.append(short)
-        out.append(np.array([xxhash.xxh64_intdigest(h[starts[i] : starts[i + 1]].tobytes()) for i in short], dtype=np.uint64))
-    r, s = (np.concatenate(out_rows), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    order = np.lexsort((s, r))
-    r, s = r[order], s[order]
-    first = np.ones(len(r), bool)
-    first[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-    return r[first], s[first]
+        own = np.array([xxhash.xxh64_intdigest(h[starts[i] : starts[i + 1]].tobytes()) for i in short], dtype=np.uint64)
+        keys.append((short.astype(np.uint64) << np.uint64(HASH_BITS)) | (own & _MASK))
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    key = key[first]
+    return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & _MASK
+
+
+def sums_by_row(rows: np.ndarray, values: np.ndarray, n_rows: int) -> np.ndarray:
+    """Wrapping sums of 64-bit values per row; rows ascending."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    ends = np.searchsorted(rows, np.arange(n_rows + 1))
+    return total[ends[1:]] - total[ends[:-1]]
