@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.operators.shingles import BLOCK, HASH_BITS, finish, shingle_sets, sums_by_row
+from qirtas.operators.shingles import HASH_BITS, finish, shingle_sets, sums_by_row
 from qirtas.plans.lineage import written
 from qirtas.plans.skew import join_groups, keep_members
 
 #: Cells of the frequency sketch, a constant whatever the input.
 SKETCH_CELLS = 1 << 20
+#: Rows that a worker looks at together.
+BLOCK = 2048
 #: Words of the bitmap of a record's second text, 64 bits each.
 BITMAP_WORDS = 3
 #: Words of the bitmap of the first text, looked at once per pair of groups.
@@ -112,35 +114,33 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     base = df.select(df[id_col].alias("_id"), df[first].alias("_s"), df[second].alias("_t")).where("_id is not null and _s is not null and _t is not null")
     broadcast = df.sparkSession.sparkContext.broadcast(_scaled(_sketch(base, n)))
 
-    def member_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, n_s, n_t, group, (rs, ss), (rt, st), *_ in _signed(batches, broadcast.value, n, threshold):
+    def signed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        led: set[tuple[int, int]] = set()
+        for ids, n_s, n_t, group, (rs, ss), (rt, st), rows, token, _ in _signed(batches, broadcast.value, n, threshold):
             size = len(ids)
             sets = finish(sums_by_row(rs, finish(ss + np.uint64(1)), size) + finish(sums_by_row(rt, finish(st + np.uint64(2)), size)))
-            own = {f"s{k}": w for k, w in enumerate(_bitmaps(rs, ss, size, SOURCE_WORDS))}
-            yield pd.DataFrame({"id": ids, "set_key": sets.view(np.int64), "g": group, "b0": _bitmaps(rt, st, size, BITMAP_WORDS)[0], "n_s": n_s.astype(np.int32)} | own)
-
-    def posting_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, n_s, n_t, group, _, (rt, st), rows, token, place in _signed(batches, broadcast.value, n, threshold):
-            bitmaps = _bitmaps(rt, st, len(ids), BITMAP_WORDS)
-            # Copies collapse here already, before anything is shuffled.
-            _, lead = np.unique(np.stack([group.astype(np.int64), bitmaps[0]], axis=1), axis=0, return_index=True)
-            led = np.zeros(len(ids), bool)
-            led[lead] = True
-            keep = led[rows]
-            rows = rows[keep]
-            shape = (place[keep] << 40) | (n_s[rows] << 20) | n_t[rows]
-            yield pd.DataFrame({"token": token[keep], "g": group[rows], "shape": shape} | {f"b{k}": w[rows] for k, w in enumerate(bitmaps)})
-
-    own = ", ".join(f"s{k} bigint" for k in range(SOURCE_WORDS))
-    members = written(base.mapInPandas(member_rows, f"id bigint, set_key bigint, g int, b0 bigint, n_s int, {own}").withColumn("group_key", F.xxhash64("g", "b0")).drop("g", "b0"), "members")
+            own = {f"s{k}": w for k, w in enumerate(_bitmaps(rs, ss, size, SOURCE_WORDS))} | {f"b{k}": w for k, w in enumerate(_bitmaps(rt, st, size, BITMAP_WORDS))}
+            # A group posts once per partition, before anything is shuffled, however many copies it has there.
+            tokens = np.split(token, np.searchsorted(rows, np.arange(1, size)))
+            for i, key in enumerate(zip(group.tolist(), own["b0"].tolist(), strict=True)):
+                if key in led:
+                    tokens[i] = token[:0]
+                led.add(key)
+            yield pd.DataFrame({"id": ids, "set_key": sets.view(np.int64), "g": group, "n_s": n_s.astype(np.int32), "n_t": n_t.astype(np.int32), "tokens": tokens} | own)
+
+    own = ", ".join([f"s{k} bigint" for k in range(SOURCE_WORDS)] + [f"b{k} bigint" for k in range(BITMAP_WORDS)])
+    signed = written(base.mapInPandas(signed_rows, f"id bigint, set_key bigint, g int, n_s int, n_t int, tokens array<int>, {own}"), "signed")
+    members = signed.select("id", "set_key", F.xxhash64("g", "b0").alias("group_key"), "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)])
     kept = ["group_key", "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)]]
     classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), *[F.first(c).alias(c) for c in kept])
-    words = ", ".join(f"b{k} bigint" for k in range(BITMAP_WORDS))
-    postings = base.mapInPandas(posting_rows, f"token int, g int, shape bigint, {words}").repartition("token").dropDuplicates(["token", "g", "b0"])
+    t = threshold
+    posting = F.posexplode("tokens").alias("place", "token")
+    bitmaps = [f"b{k}" for k in range(BITMAP_WORDS)]
+    postings = signed.select(posting, "g", "n_s", "n_t", *bitmaps).select("token", "g", (F.shiftleft(F.col("place").cast("bigint"), 40) + F.shiftleft(F.col("n_s").cast("bigint"), 20) + F.col("n_t")).alias("shape"), *bitmaps)
+    postings = postings.repartition("token")
     columns = ["g", "place", "n_s", "n_t", *[f"b{k}" for k in range(BITMAP_WORDS)]]
     postings = postings.withColumns({"place": F.shiftright("shape", 40), "n_s": F.shiftright("shape", 20).bitwiseAND(F.lit((1 << 20) - 1)), "n_t": F.col("shape").bitwiseAND(F.lit((1 << 20) - 1))})
     a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "pi")
-    t = threshold
     share = t / (1 + t)
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
     condition = F.expr(

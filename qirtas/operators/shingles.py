@@ -25,14 +25,13 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and where each text begins (one more than texts)."""
-    ids: dict[str, int] = {}
-    flat: list[int] = []
-    starts = [0]
-    for t in texts:
-        flat.extend([ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())])
-        starts.append(len(flat))
-    own = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ids), dtype=np.uint64, count=len(ids))
-    return own[np.array(flat, dtype=np.int64)] if flat else np.zeros(0, np.uint64), np.array(starts, dtype=np.int64)
+    flat: list[str] = []
+    starts = np.zeros(len(texts) + 1, np.int64)
+    for i, t in enumerate(texts):
+        flat += WORD.findall(t.lower())
+        starts[i + 1] = len(flat)
+    own = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in dict.fromkeys(flat)}
+    return np.fromiter(map(own.__getitem__, flat), dtype=np.uint64, count=len(flat)), starts
 
 
 #: Bits of a sequence's hash; the row's place in its block fills the rest of a 64-bit key.
