@@ -19,8 +19,8 @@ SKETCH_CELLS = 1 << 20
 BLOCK = 2048
 #: Words of the bitmap of a record's second text, 64 bits each.
 BITMAP_WORDS = 3
-#: Words of the bitmap of the first text, looked at once per pair of groups.
-SOURCE_WORDS = 4
+#: Shared postings asked of a pair of groups, where its sizes guarantee so many.
+SHARED = 5
 #: Classes of exact copies up to this size are expanded to all pairs; a larger one links each copy to the class's smallest id.
 EXPAND_LIMIT = 50
 
@@ -106,8 +106,9 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     into one group before anything is shuffled by sequence. A group posts the
     rarest sequences of ``first``, ordered by a fixed-size frequency sketch over
     all rows (any order is exact, a rare-first one is fast). Group pairs that share
-    a posting pass exact filters by size, by position and by the bitmap of
-    ``second``; then members are expanded and verified on their whole texts.
+    postings pass exact filters by size, by position, by the bitmap of ``second``
+    and by how many postings they share; then members are expanded and verified on
+    their whole texts.
     Nothing is capped. Texts shorter than ``n`` words count as one sequence. Rows
     with a null id or text belong to no class; a repeated id counts once per class.
     """
@@ -119,7 +120,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
         for ids, n_s, n_t, group, (rs, ss), (rt, st), rows, token, _ in _signed(batches, broadcast.value, n, threshold):
             size = len(ids)
             sets = finish(sums_by_row(rs, finish(ss + np.uint64(1)), size) + finish(sums_by_row(rt, finish(st + np.uint64(2)), size)))
-            own = {f"s{k}": w for k, w in enumerate(_bitmaps(rs, ss, size, SOURCE_WORDS))} | {f"b{k}": w for k, w in enumerate(_bitmaps(rt, st, size, BITMAP_WORDS))}
+            own = {f"b{k}": w for k, w in enumerate(_bitmaps(rt, st, size, BITMAP_WORDS))}
             # A group posts once per partition, before anything is shuffled, however many copies it has there.
             tokens = np.split(token, np.searchsorted(rows, np.arange(1, size)))
             for i, key in enumerate(zip(group.tolist(), own["b0"].tolist(), strict=True)):
@@ -128,11 +129,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
                 led.add(key)
             yield pd.DataFrame({"id": ids, "set_key": sets.view(np.int64), "g": group, "n_s": n_s.astype(np.int32), "n_t": n_t.astype(np.int32), "tokens": tokens} | own)
 
-    own = ", ".join([f"s{k} bigint" for k in range(SOURCE_WORDS)] + [f"b{k} bigint" for k in range(BITMAP_WORDS)])
+    own = ", ".join(f"b{k} bigint" for k in range(BITMAP_WORDS))
     signed = written(base.mapInPandas(signed_rows, f"id bigint, set_key bigint, g int, n_s int, n_t int, tokens array<int>, {own}"), "signed")
-    members = signed.select("id", "set_key", F.xxhash64("g", "b0").alias("group_key"), "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)])
-    kept = ["group_key", "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)]]
-    classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), *[F.first(c).alias(c) for c in kept])
+    members = signed.select("id", "set_key", F.xxhash64("g", "b0").alias("group_key"))
+    classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), F.first("group_key").alias("group_key"))
     t = threshold
     posting = F.posexplode("tokens").alias("place", "token")
     bitmaps = [f"b{k}" for k in range(BITMAP_WORDS)]
@@ -142,24 +142,24 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     postings = postings.withColumns({"place": F.shiftright("shape", 40), "n_s": F.shiftright("shape", 20).bitwiseAND(F.lit((1 << 20) - 1)), "n_t": F.col("shape").bitwiseAND(F.lit((1 << 20) - 1))})
     a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "pi")
     share = t / (1 + t)
+    overlap = f"ceil({share!r} * (n_s_p + n_s_i) - 1e-9)"
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
+    # The k-th shared sequence is at most n - overlap + k - 1 places from the start on either side.
     condition = F.expr(
         f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r} * n_s_p - 1e-9 and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9"
-        f" and place_i < n_s_i - ceil({2 * share!r} * n_s_i - 1e-9) + 1"
-        f" and 1 + least(n_s_p - place_p - 1, n_s_i - place_i - 1) >= {share!r} * (n_s_p + n_s_i) - 1e-9"
+        f" and place_i < n_s_i - {overlap} + {SHARED} and place_p < n_s_p - {overlap} + {SHARED}"
         f" and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r} * (n_t_p + n_t_i) - 1e-9"
     )
-    group_pairs = a.join(b, "token").where(condition).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b")).distinct()
+    # So many of them lie in both prefixes, which are as long as the sizes' ratio needs at worst.
+    asked = F.expr(f"cast(least({SHARED}, 1 - ceil({t!r} * n_s_p - 1e-9) + {overlap}) as int)")
+    shared = a.join(b, "token").where(condition).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), asked.alias("asked"))
+    group_pairs = shared.groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("_n"), F.max("asked").alias("asked")).where("_n >= asked").select("g_a", "g_b")
     # Groups to classes: a group's members are expanded here, and pairs within a group added.
-    fields = ["class_id", "n_s", *[f"s{k}" for k in range(SOURCE_WORDS)]]
-    side_a = classes.select(F.col("group_key").alias("g_a"), *[F.col(c).alias(f"{c}_a") for c in fields])
-    side_b = classes.select(F.col("group_key").alias("g_b"), *[F.col(c).alias(f"{c}_b") for c in fields])
-    across = group_pairs.join(side_a, "g_a").join(side_b, "g_b").drop("g_a", "g_b")
+    side_a, side_b = (classes.select(F.col("group_key").alias(f"g_{x}"), F.col("class_id").alias(f"c_{x}")) for x in "ab")
+    across = group_pairs.join(side_a, "g_a").join(side_b, "g_b").select("c_a", "c_b")
     several = classes.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("group_key").alias("g_a"))
-    within = several.join(side_a, "g_a").join(side_b.withColumnRenamed("g_b", "g_a"), "g_a").where("class_id_a < class_id_b").drop("g_a")
-    differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SOURCE_WORDS))
-    likely = across.unionByName(within).where(f"class_id_a <> class_id_b and (n_s_a + n_s_b - ({differ})) / 2 >= {share!r} * (n_s_a + n_s_b) - 1e-9")
-    pairs = written(likely.select(F.least("class_id_a", "class_id_b").alias("c_a"), F.greatest("class_id_a", "class_id_b").alias("c_b")), "class-pairs")
+    within = several.join(side_a, "g_a").join(side_b.withColumnRenamed("g_b", "g_a"), "g_a").where("c_a < c_b").select("c_a", "c_b")
+    pairs = written(across.unionByName(within).where("c_a <> c_b").select(F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b")), "class-pairs")
     involved = pairs.select(F.explode(F.array("c_a", "c_b")).alias("_c")).distinct()
     texts = keep_members(base, "_id", involved, "_c")
     both = pairs.join(texts.select(F.col("_id").alias("c_a"), F.col("_s").alias("s_a"), F.col("_t").alias("t_a")), "c_a")
