@@ -2,5 +2,54 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qirtas.llm import leaks as leak_ops
+from qirtas.llm import lookalikes, sentences
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks, entries = read(spark, d, "context_chunks"), read(spark, d, "tm_entries")
+    model = sentences.train(sentences.sample_texts(chunks, "chunk_id", "text") + sentences.sample_texts(entries, "id", "source_sentence"))
+    parts = [sentences.sentences(df, key, text, model).select(F.lit(t).alias("in_table"), "row_key", "char_start", "char_end") for t, df, key, text in (("context_chunks", chunks, "chunk_id", "text"), ("tm_entries", entries, "id", "source_sentence"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    terms, hits = read(spark, d, "terms"), read(spark, d, "glossary_hits")
+    parts = [
+        lookalikes.look_pairs(terms, "term_id", "source_term_norm").select(F.lit("terms").alias("in_table"), "row_key", "twin_key"),
+        lookalikes.look_pairs(read(spark, d, "tm_entries"), "id", "source_sentence").select(F.lit("tm_entries").alias("in_table"), "row_key", "twin_key"),
+        lookalikes.look_matches(hits, "hit_id", "source_term", terms, "term_id", "source_term").select(F.lit("glossary_hits").alias("in_table"), "row_key", "twin_key"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    """One consistent form of every term, hit and sentence."""
+    inputs = (("terms", "term_id", "source_term_norm"), ("tm_entries", "id", "source_sentence"), ("glossary_hits", "hit_id", "source_term"))
+    return reduce(DataFrame.unionByName, [lookalikes.unify(read(spark, d, t), key, text).select(F.lit(t).alias("in_table"), "row_key", "canonical") for t, key, text in inputs])
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leak_ops.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where(f"run_words >= {leak_ops.RUN_WORDS}").select("doc_id", "item_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every seeded pair with its longest common run and alignment score."""
+    return _leaks(spark, d)
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_unified": p6_unified, "p8_found": p8_found, "p8_scores": p8_scores}
+ORACLE: dict[str, str] = {}
