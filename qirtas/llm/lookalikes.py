@@ -58,17 +58,33 @@ def _digits(look_col: Column) -> Column:
     return F.regexp_replace(look_col, r"[^\p{Nd}]+", "")
 
 
+def _base_letters() -> tuple[str, str]:
+    """Composed letters and their base letters, by rule from Unicode data."""
+    table = {}
+    for start, end in ((0xC0, 0x250), (0x370, 0x530), (0x620, 0x700), (0x1E00, 0x2000)):
+        for code in range(start, end):
+            plain = unicodedata.normalize("NFD", chr(code))
+            if len(plain) > 1 and all(unicodedata.combining(c) for c in plain[1:]):
+                table[chr(code)] = plain[0]
+    return "".join(table), "".join(table.values())
+
+
 def look_key(text: Column) -> Column:
-    """64-bit key that texts of one look share, by their hash under accent-sensitive Unicode collation."""
-    shown = look(text)
-    return F.xxhash64(F.collate(shown, "UNICODE"), F.xxhash64(_digits(shown)))
+    """64-bit key that texts of one look share: the hash of the mapped look without accents.
+
+    Spark's hash doesn't follow a collation, so this key is coarser than the look
+    (it ignores accents) and the collation decides among texts that share it.
+    """
+    source, target = _base_letters()
+    return F.xxhash64(F.regexp_replace(F.translate(look(text), source, target), r"\p{Mn}+", ""))
 
 
 def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of classes in which several different texts look the same: ``row_key``, ``text``, ``class_key``, ``variant_key``, ``n_rows``.
 
     Only 64-bit keys of all rows are shuffled, pre-aggregated; texts are fetched
-    for rows of such classes alone, through a fixed-size bitmap. ``variant_key``
+    for rows of classes with several texts alone, through a fixed-size bitmap, and
+    grouped there under accent-sensitive Unicode collation. ``variant_key``
     names the exact text, ``n_rows`` counts its rows. Null keys and texts belong to
     no class. Classes keep their members whole, however many.
     """
@@ -77,9 +93,15 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     variants = keyed.groupBy("class_key", "variant_key").agg(F.count(F.lit(1)).alias("n_rows"))
     classes = variants.groupBy("class_key").agg(F.count(F.lit(1)).alias("_variants"), F.sum("n_rows").alias("_rows")).where("_variants > 1").select("class_key", "_rows")
     members = written(join_groups(keyed, classes, "class_key", "_rows").select("row_key", "class_key", "variant_key"), "look-members")
-    sizes = members.groupBy("class_key", "variant_key").agg(F.count(F.lit(1)).alias("n_rows"))
     texts = keep_members(base, "row_key", members.select("row_key").distinct(), "row_key").select("row_key", "text", F.xxhash64("text").alias("variant_key"))
-    return members.join(texts, ["row_key", "variant_key"]).join(sizes, ["class_key", "variant_key"])
+    full = written(members.join(texts, ["row_key", "variant_key"]), "look-texts")
+    # Accent-sensitive Unicode collation groups the distinct texts of a class; digits of other scripts stay apart.
+    shown = look(F.col("text"))
+    distinct = full.groupBy("class_key", "variant_key").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n_rows"))
+    distinct = distinct.select("class_key", "variant_key", "n_rows", F.collate(shown, "UNICODE").alias("_shown"), _digits(shown).alias("_digits"))
+    groups = distinct.groupBy("class_key", "_shown", "_digits").agg(F.min("variant_key").alias("_first"), F.count(F.lit(1)).alias("_variants")).where("_variants > 1").drop("_variants")
+    refined = distinct.join(groups, ["class_key", "_shown", "_digits"]).select("class_key", "variant_key", "n_rows", F.xxhash64("class_key", "_first").alias("_class"))
+    return full.join(refined, ["class_key", "variant_key"]).select("row_key", "text", F.col("_class").alias("class_key"), "variant_key", "n_rows")
 
 
 def unify(df: DataFrame, key: str, text: str) -> DataFrame:
