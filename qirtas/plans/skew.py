@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qirtas.plans.lineage import written
+
 #: Keys joined by broadcast. The largest key left for the shuffle holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 1000
 
@@ -51,3 +55,20 @@ def keep_members(rows: DataFrame, column: str, members: DataFrame, member: str)
     tested = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "_bucket")
     hit = F.floor(byte / F.pow(F.lit(2), (bit % 8).cast("int"))).cast("int") % 2 == 1
     return tested.where(hit).drop("_bucket", "_bitmap")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """``df`` with ``column``: 0, 1, ... within each group of ``keys`` by ``order``, hot groups split over tasks.
+
+    Rows are ranged by key and order and written once; each range numbers its own
+    part of a group, and prefix sums over the ranges' counts (a row per group and
+    range) give the offsets. Ties in ``order`` are numbered arbitrarily.
+    """
+    ranged = df.repartitionByRange(*[F.col(c).asc() for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "ranged")
+    parts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).drop("_n")
+    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]])
+    joined = local.alias("l").join(before.alias("r"), on)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._at") + F.col("r._before")).alias(column))
