@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qirtas.llm import abuse, bitext, lookalikes, packing, sentences
 from qirtas.llm import leaks as leak_ops
-from qirtas.llm import lookalikes, sentences
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -51,5 +51,42 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_unified": p6_unified, "p8_found": p8_found, "p8_scores": p8_scores}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    entries = read(spark, d, "tm_entries")
+    return bitext.align_articles(entries, read(spark, d, "bitext_articles"), bitext.learn_tables(bitext.sample_pairs(entries)))
+
+
+def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one above the capacity, with its training sequence."""
+    return packing.pack_documents(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences, tokens and the share of room that stays empty."""
+    per = p7_sequences(spark, d).groupBy("sequence_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"))
+    return per.agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("fullest")).withColumn("empty_share", 1 - F.col("n_tokens") / (F.col("n_sequences") * packing.CAPACITY))
+
+
+def _scorer(documents: DataFrame) -> abuse.Scorer:
+    return abuse.train_scorer(documents, "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = read(spark, d, "documents")
+    return abuse.scored(documents, "doc_id", "text", _scorer(documents)).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score for every document."""
+    documents = read(spark, d, "documents")
+    return abuse.scored(documents, "doc_id", "text", _scorer(documents))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of abusive documents per source."""
+    documents = read(spark, d, "documents")
+    return abuse.rates(documents, "doc_id", "text", "source", _scorer(documents))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p3_found, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {}
