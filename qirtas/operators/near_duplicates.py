@@ -14,13 +14,15 @@ from qirtas.plans.lineage import written
 from qirtas.plans.skew import join_groups, keep_members
 
 #: Cells of the frequency sketch, a constant whatever the input.
-SKETCH_CELLS = 1 << 20
+SKETCH_CELLS = 1 << 21
 #: Rows that a worker looks at together.
 BLOCK = 2048
 #: Words of the bitmap of a record's second text, 64 bits each.
 BITMAP_WORDS = 3
 #: Shared postings asked of a pair of groups, where its sizes guarantee so many.
 SHARED = 5
+#: Mask of one of the sizes packed into a posting.
+_LOW = (1 << 20) - 1
 #: Classes of exact copies up to this size are expanded to all pairs; a larger one links each copy to the class's smallest id.
 EXPAND_LIMIT = 50
 
@@ -54,7 +56,7 @@ def _bitmaps(rows: np.ndarray, s: np.ndarray, n_rows: int, words: int) -> list[n
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of 10 bits, which is all that the order of sequences needs."""
-    return np.minimum(np.log2(counts + 1.0) * 24, 1023).astype(np.uint64)
+    return np.minimum(np.log2(counts + 1.0) * 24, 1023).astype(np.uint16)
 
 
 def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, threshold: float):
@@ -67,7 +69,7 @@ def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, thresho
             rs, ss = shingle_sets(b["_s"].tolist(), n)
             n_s, n_t = np.bincount(rs, minlength=size), np.bincount(rt, minlength=size)
             # Row, frequency and the hash's low 40 bits in one key: one plain sort puts each row's rare sequences first.
-            key = np.sort((rs.astype(np.uint64) << np.uint64(50)) | (scaled[(ss % np.uint64(SKETCH_CELLS)).astype(np.int64)] << np.uint64(40)) | (ss & np.uint64((1 << 40) - 1)))
+            key = np.sort((rs.astype(np.uint64) << np.uint64(50)) | (scaled[(ss % np.uint64(SKETCH_CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (ss & np.uint64((1 << 40) - 1)))
             place = np.arange(len(rs)) - (np.cumsum(n_s) - n_s)[rs]
             inside = place < (n_s - np.ceil(threshold * n_s - 1e-9).astype(np.int64) + 1)[rs]
             rows, token = rs[inside], finish(key[inside] & np.uint64((1 << 40) - 1))
@@ -138,21 +140,26 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     bitmaps = [f"b{k}" for k in range(BITMAP_WORDS)]
     postings = signed.select(posting, "g", "n_s", "n_t", *bitmaps).select("token", "g", (F.shiftleft(F.col("place").cast("bigint"), 40) + F.shiftleft(F.col("n_s").cast("bigint"), 20) + F.col("n_t")).alias("shape"), *bitmaps)
     postings = postings.repartition("token")
-    columns = ["g", "place", "n_s", "n_t", *[f"b{k}" for k in range(BITMAP_WORDS)]]
-    postings = postings.withColumns({"place": F.shiftright("shape", 40), "n_s": F.shiftright("shape", 20).bitwiseAND(F.lit((1 << 20) - 1)), "n_t": F.col("shape").bitwiseAND(F.lit((1 << 20) - 1))})
-    a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "pi")
+    a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ["g", "shape", *bitmaps]]) for x in "pi")
     share = t / (1 + t)
     overlap = f"ceil({share!r} * (n_s_p + n_s_i) - 1e-9)"
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
     # The k-th shared sequence is at most n - overlap + k - 1 places from the start on either side.
-    condition = F.expr(
-        f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r} * n_s_p - 1e-9 and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9"
-        f" and place_i < n_s_i - {overlap} + {SHARED} and place_p < n_s_p - {overlap} + {SHARED}"
-        f" and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r} * (n_t_p + n_t_i) - 1e-9"
+    condition = (
+        f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r} * n_s_p - 1e-9 and place_i < n_s_i - {overlap} + {SHARED} and place_p < n_s_p - {overlap} + {SHARED}"
+        f" and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9 and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r} * (n_t_p + n_t_i) - 1e-9"
     )
     # So many of them lie in both prefixes, which are as long as the sizes' ratio needs at worst.
-    asked = F.expr(f"cast(least({SHARED}, 1 - ceil({t!r} * n_s_p - 1e-9) + {overlap}) as int)")
-    shared = a.join(b, "token").where(condition).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), asked.alias("asked"))
+    asked = f"cast(least({SHARED}, 1 - ceil({t!r} * n_s_p - 1e-9) + {overlap}) as int)"
+
+    def unpacked(sql: str) -> Column:
+        for x in "pi":
+            sql = sql.replace(f"place_{x}", f"shiftright(shape_{x}, 40)").replace(f"n_s_{x}", f"(shiftright(shape_{x}, 20) & {_LOW})").replace(f"n_t_{x}", f"(shape_{x} & {_LOW})")
+        return F.expr(sql)
+
+    # Indexed is the smaller set of a pair, so its shared places lie before this whatever the other's size.
+    b = b.where(unpacked(f"place_i < n_s_i - ceil({2 * share!r} * n_s_i - 1e-9) + {SHARED}"))
+    shared = a.join(b, "token").where(unpacked(condition)).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), unpacked(asked).alias("asked"))
     group_pairs = shared.groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("_n"), F.max("asked").alias("asked")).where("_n >= asked").select("g_a", "g_b")
     # Groups to classes: a group's members are expanded here, and pairs within a group added.
     side_a, side_b = (classes.select(F.col("group_key").alias(f"g_{x}"), F.col("class_id").alias(f"c_{x}")) for x in "ab")
