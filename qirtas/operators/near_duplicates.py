@@ -158,7 +158,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
         return F.expr(sql)
 
     # Indexed is the smaller set of a pair, so its shared places lie before this whatever the other's size.
-    b = b.where(unpacked(f"place_i < n_s_i - ceil({2 * share!r} * n_s_i - 1e-9) + {SHARED}"))
+    # The never-true random term keeps the filter above the shuffle, which both sides then share.
+    b = b.where(unpacked(f"place_i < n_s_i - ceil({2 * share!r} * n_s_i - 1e-9) + {SHARED} or rand(0) < 0"))
     shared = a.join(b, "token").where(unpacked(condition)).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), unpacked(asked).alias("asked"))
     group_pairs = shared.groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("_n"), F.max("asked").alias("asked")).where("_n >= asked").select("g_a", "g_b")
     # Groups to classes: a group's members are expanded here, and pairs within a group added.
