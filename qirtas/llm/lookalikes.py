@@ -89,7 +89,7 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     no class. Classes keep their members whole, however many.
     """
     base = df.select(df[key].cast("bigint").alias("row_key"), df[text].alias("text")).where("row_key is not null and text is not null")
-    keyed = base.select("row_key", look_key(F.col("text")).alias("class_key"), F.xxhash64("text").alias("variant_key"))
+    keyed = written(base.select("row_key", look_key(F.col("text")).alias("class_key"), F.xxhash64("text").alias("variant_key")), "look-keys")
     variants = keyed.groupBy("class_key", "variant_key").agg(F.count(F.lit(1)).alias("n_rows"))
     classes = variants.groupBy("class_key").agg(F.count(F.lit(1)).alias("_variants"), F.sum("n_rows").alias("_rows")).where("_variants > 1").select("class_key", "_rows")
     members = written(join_groups(keyed, classes, "class_key", "_rows").select("row_key", "class_key", "variant_key"), "look-members")
@@ -136,9 +136,9 @@ def look_pairs(df: DataFrame, key: str, text: str, expand_limit: int = EXPAND_LI
     rows = look_classes(df, key, text)
     lead = rows.groupBy("class_key", "variant_key").agg(F.min("row_key").alias("_lead"))
     shown = rows.join(lead, ["class_key", "variant_key"]).where(f"n_rows <= {expand_limit} or row_key = _lead")
-    a = shown.select("class_key", F.col("row_key").alias("row_a"), F.col("variant_key").alias("v_a"), F.col("text").alias("t_a"))
-    b = shown.select("class_key", F.col("row_key").alias("row_b"), F.col("variant_key").alias("v_b"), F.col("text").alias("t_b"))
-    pairs = a.join(b, "class_key").where("row_a < row_b and v_a <> v_b").where(_same_look(F.col("t_a"), F.col("t_b")))
+    a = shown.select("class_key", F.col("row_key").alias("row_a"), F.col("variant_key").alias("v_a"))
+    b = shown.select("class_key", F.col("row_key").alias("row_b"), F.col("variant_key").alias("v_b"))
+    pairs = a.join(b, "class_key").where("row_a < row_b and v_a <> v_b")
     return pairs.select(F.col("row_a").alias("row_key"), F.col("row_b").alias("twin_key")).distinct()
 
 
