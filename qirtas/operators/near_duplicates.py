@@ -145,6 +145,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     overlap = f"ceil({share!r} * (n_s_p + n_s_i) - 1e-9)"
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
     # The k-th shared sequence is at most n - overlap + k - 1 places from the start on either side.
+    # Every term looks at both sides, so none is pushed below the shuffle, which both sides share.
     condition = (
         f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r} * n_s_p - 1e-9 and place_i < n_s_i - {overlap} + {SHARED} and place_p < n_s_p - {overlap} + {SHARED}"
         f" and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9 and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r} * (n_t_p + n_t_i) - 1e-9"
@@ -157,9 +158,6 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
             sql = sql.replace(f"place_{x}", f"shiftright(shape_{x}, 40)").replace(f"n_s_{x}", f"(shiftright(shape_{x}, 20) & {_LOW})").replace(f"n_t_{x}", f"(shape_{x} & {_LOW})")
         return F.expr(sql)
 
-    # Indexed is the smaller set of a pair, so its shared places lie before this whatever the other's size.
-    # The never-true random term keeps the filter above the shuffle, which both sides then share.
-    b = b.where(unpacked(f"place_i < n_s_i - ceil({2 * share!r} * n_s_i - 1e-9) + {SHARED} or rand(0) < 0"))
     shared = a.join(b, "token").where(unpacked(condition)).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), unpacked(asked).alias("asked"))
     group_pairs = shared.groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("_n"), F.max("asked").alias("asked")).where("_n >= asked").select("g_a", "g_b")
     # Groups to classes: a group's members are expanded here, and pairs within a group added.
