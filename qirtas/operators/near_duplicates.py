@@ -142,16 +142,16 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     postings = postings.repartition("token")
     a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ["g", "shape", *bitmaps]]) for x in "pi")
     share = t / (1 + t)
-    overlap = f"ceil({share!r} * (n_s_p + n_s_i) - 1e-9)"
+    overlap = f"ceil({share!r}D * (n_s_p + n_s_i) - 1e-9)"
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
     # The k-th shared sequence is at most n - overlap + k - 1 places from the start on either side.
     # Every term looks at both sides, so none is pushed below the shuffle, which both sides share.
     condition = (
-        f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r} * n_s_p - 1e-9 and place_i < n_s_i - {overlap} + {SHARED} and place_p < n_s_p - {overlap} + {SHARED}"
-        f" and least(n_t_p, n_t_i) >= {t!r} * greatest(n_t_p, n_t_i) - 1e-9 and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r} * (n_t_p + n_t_i) - 1e-9"
+        f"(n_s_p > n_s_i or (n_s_p = n_s_i and (g_p < g_i or (g_p = g_i and b0_p < b0_i)))) and n_s_i >= {t!r}D * n_s_p - 1e-9 and place_i < n_s_i - {overlap} + {SHARED} and place_p < n_s_p - {overlap} + {SHARED}"
+        f" and least(n_t_p, n_t_i) >= {t!r}D * greatest(n_t_p, n_t_i) - 1e-9 and (n_t_p + n_t_i - ({differ})) / 2 >= {share!r}D * (n_t_p + n_t_i) - 1e-9"
     )
     # So many of them lie in both prefixes, which are as long as the sizes' ratio needs at worst.
-    asked = f"cast(least({SHARED}, 1 - ceil({t!r} * n_s_p - 1e-9) + {overlap}) as int)"
+    asked = f"cast(least({SHARED}, 1 - ceil({t!r}D * n_s_p - 1e-9) + {overlap}) as int)"
 
     def unpacked(sql: str) -> Column:
         for x in "pi":
