@@ -60,7 +60,7 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, threshold: float):
-    """Per block of rows: ids, sizes of both sets, group key, both sets, and the prefix postings (row, token, place)."""
+    """Per block of rows: ids, sizes of both sets, group key, both sets, bitmaps, and the prefix postings (row, token, place)."""
     for whole in batches:
         for at in range(0, len(whole), BLOCK):
             b = whole.iloc[at : at + BLOCK]
@@ -73,9 +73,12 @@ def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, thresho
             place = np.arange(len(rs)) - (np.cumsum(n_s) - n_s)[rs]
             inside = place < (n_s - np.ceil(threshold * n_s - 1e-9).astype(np.int64) + 1)[rs]
             rows, token = rs[inside], finish(key[inside] & np.uint64((1 << 40) - 1))
-            # One group: the same prefix and sizes.
+            # One group: the same prefix and sizes, and the same bitmap, which its one set of postings carries.
+            bitmaps = _bitmaps(rt, st, size, BITMAP_WORDS)
             group = finish(sums_by_row(rows, token, size) + finish(n_s.astype(np.uint64) * np.uint64(1 << 20) + n_t.astype(np.uint64)))
-            yield ids, n_s, n_t, (group >> np.uint64(32)).astype(np.uint32).view(np.int32), (rs, ss), (rt, st), rows, (token >> np.uint64(32)).astype(np.uint32).view(np.int32), place[inside]
+            for w in bitmaps:
+                group = finish(group ^ w.view(np.uint64))
+            yield ids, n_s, n_t, (group >> np.uint64(32)).astype(np.uint32).view(np.int32), (rs, ss), (rt, st), bitmaps, rows, (token >> np.uint64(32)).astype(np.uint32).view(np.int32), place[inside]
 
 
 def _alike(a: Column, b: Column, threshold: float, n: int) -> Column:
@@ -104,7 +107,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     ``links``: ``class_a`` < ``class_b``, all pairs of classes whose Jaccard
     similarity is at least ``threshold`` in ``first`` and in ``second``.
 
-    Grouped prefix join. Records with the same prefix and sizes collapse
+    Grouped prefix join. Records with the same prefix, sizes and bitmap collapse
     into one group before anything is shuffled by sequence. A group posts the
     rarest sequences of ``first``, ordered by a fixed-size frequency sketch over
     all rows (any order is exact, a rare-first one is fast). Group pairs that share
@@ -119,10 +122,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
 
     def signed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         led: set[tuple[int, int]] = set()
-        for ids, n_s, n_t, group, (rs, ss), (rt, st), rows, token, _ in _signed(batches, broadcast.value, n, threshold):
+        for ids, n_s, n_t, group, (rs, ss), (rt, st), bitmaps, rows, token, _ in _signed(batches, broadcast.value, n, threshold):
             size = len(ids)
             sets = finish(sums_by_row(rs, finish(ss + np.uint64(1)), size) + finish(sums_by_row(rt, finish(st + np.uint64(2)), size)))
-            own = {f"b{k}": w for k, w in enumerate(_bitmaps(rt, st, size, BITMAP_WORDS))}
+            own = {f"b{k}": w for k, w in enumerate(bitmaps)}
             # A group posts once per partition, before anything is shuffled, however many copies it has there.
             tokens = np.split(token, np.searchsorted(rows, np.arange(1, size)))
             for i, key in enumerate(zip(group.tolist(), own["b0"].tolist(), strict=True)):
