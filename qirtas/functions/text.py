@@ -79,8 +79,9 @@ def trigrams(text: Column) -> Column:
     """Distinct 3-character windows of the lower-cased text padded with a space; a text of one or two characters is its own, an empty one has none."""
     # Binding the text to a lambda's variable computes it once, not once per window.
     def of(t: Column) -> Column:
-        padded = F.concat(F.lit(" "), t, F.lit(" "))
-        windows = F.transform(F.array(padded), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))[0]
+        chars = F.split(F.concat(F.lit(" "), t, F.lit(" ")), "")
+        window = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))
+        windows = F.transform(F.array(chars), lambda c: F.array_distinct(window(c)))[0]
         return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < 3, F.array(t)).otherwise(windows)
 
     return F.transform(F.array(F.lower(collapse_spaces(text))), of)[0]
