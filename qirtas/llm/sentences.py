@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qirtas.llm.lookalikes import mapping
+
 #: Rows of each table whose texts train the model, and the longest text taken. A bound on the driver's work; all rows are segmented.
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 8000
@@ -23,13 +25,16 @@ CLOSERS = "\"'”’»)\\]」』）"
 QUOTES = re.compile(r"“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]*\"")
 BLANK = re.compile(r"\n[^\S\n]*\n")
 BOUND = re.compile(
-    rf"(?P<blank>\s*\n[^\S\n]*\n\s*)|(?P<term>[{TERMINATORS}]+[{CLOSERS}]*)(?=\s|$)|(?P<cjk>[{CJK_TERMINATORS}]+[{CLOSERS}]*)"
+    rf"(?P<blank>\s*\n[^\S\n]*\n\s*)|(?P<term>[{TERMINATORS}]+[{CLOSERS}]*)[\u00ad\u200b-\u200f\u2060\ufeff]*(?=\s|$)|(?P<cjk>[{CJK_TERMINATORS}]+[{CLOSERS}]*)"
     r"|(?P<thai>(?<=[ก-๛])[   -  　]+(?=[^\s\d๐-๙])|(?<=[^\s\d๐-๙])[   -  　]+(?=[ก-๛]))"
 )
-NEXT = re.compile(r"\s*([\"'“‘«(\[「『]*)(\S*)")
+NEXT = re.compile(r"[\s\u00ad\u200b-\u200f\u2060\ufeff]*([\"'“‘«(\[「『]*)(\S*)")
 MARK = re.compile(r"[(\[]?[^\W\d_]{1,2}[)\]]$|[(\[][^\W_]{1,4}[)\]]$")
 EDGE = "\"'“”‘’«»()[]{},;:،؛「」『』"
 DIGIT = re.compile(r"\d")
+TAIL = re.compile(r"\S*\Z")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_LOOK = str.maketrans(dict(zip(*mapping(), strict=True)))
 THAI = re.compile("[ก-๛]")
 
 
@@ -49,17 +54,21 @@ def mask_quotes(text: str) -> str:
     return QUOTES.sub(blank, text)
 
 
+def _plain(token: str) -> str:
+    """A token with look-alike letters and widths mapped and invisible characters removed, so that odd spellings meet."""
+    return token if token.isascii() else INVISIBLE.sub("", token.translate(_LOOK))
+
+
 def _before(text: str, at: int) -> str:
     """The token that ends at ``at``, without edge marks, in lower case; numbers as '#'."""
-    lead = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at), text.rfind("\t", 0, at), text.rfind(" ", 0, at))
-    token = text[lead + 1 : at].strip(EDGE)[-24:]
+    token = _plain(TAIL.search(text, max(0, at - 40), at)[0]).strip(EDGE)[-24:]
     return "#" if DIGIT.search(token) else token.lower()
 
 
 def _after(text: str, at: int) -> tuple[str, str]:
     """(kind, token) of what follows ``at``."""
     m = NEXT.match(text, at)
-    opener, token = m[1], m[2][:24]
+    opener, token = m[1], _plain(m[2][:24])
     full = opener + token
     if not full:
         return "end", ""
