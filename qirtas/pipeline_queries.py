@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from qirtas.core_queries import read
 from qirtas.functions.protect import protect, restore
 from qirtas.functions.text import host_allowed
-from qirtas.operators import operations, rendering, verdicts, web
+from qirtas.operators import diagnostics, embedding, operations, rendering, vectors, verdicts, web
 from qirtas.plans import pipeline
 from qirtas.sources import jsonl, office
 from qirtas.streaming import limits
@@ -159,6 +159,24 @@ def ttl_cache_hits(s: SparkSession, d: str) -> DataFrame:
     return _limited(s, d, limits.CacheAge(7200.0))
 
 
+def error_classes(s: SparkSession, d: str) -> DataFrame:
+    """Errors made of hits: a status by id and a message that holds the note."""
+    status = F.when(F.col("hit_id") % 4 == 0, 404).when(F.col("hit_id") % 4 == 1, 429).when(F.col("hit_id") % 4 == 2, 503)
+    message = F.when(F.col("hit_id") % 3 == 0, "request timed out").when(F.col("hit_id") % 3 == 1, "connection refused").otherwise(F.coalesce("note", F.lit("")))
+    return read(s, d, "glossary_hits").select("hit_id", diagnostics.engine_error(status, message).alias("engine"), diagnostics.cloud_error(status, message).alias("cloud"))
+
+
+def offload_modes(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "context_chunks").select("chunk_id", diagnostics.offload_mode(F.col("char_end"), F.col("char_start")).alias("mode"))
+
+
+def embedded_neighbours(s: SparkSession, d: str) -> DataFrame:
+    """Chunks embedded with the stand-in; every twentieth term asks for its three nearest chunks."""
+    chunks = embedding.embed(read(s, d, "context_chunks").withColumn("vec_id", F.xxhash64("chunk_id")), "vec_id", "text", embedding.hash_embedder)
+    asked = embedding.embed(read(s, d, "terms").where("term_id % 20 = 0").withColumnRenamed("term_id", "vec_id"), "vec_id", "source_term", embedding.hash_embedder)
+    return vectors.nearest(asked, chunks, 3)
+
+
 def pricing_summary(s: SparkSession, d: str) -> DataFrame:
     """Relational host capability, not the reference's."""
     l = read(s, d, "lineitem")  # noqa: E741
@@ -170,7 +188,7 @@ def orders_by_nation(s: SparkSession, d: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-QUERIES = {q.__name__: q for q in (verdict_parse, route_tm, route_audit, bindings_text, query_augment, context_text, batch_validate, pipeline_run, protect_restore, segment_dedup, page_paragraphs, links_extract, url_merge, results_topn, host_allow, manifest_hash, ingest_summary, document_report, dominant_direction, runlog_by_node, rate_limit_window, rate_limit_bucket, ttl_cache_hits, pricing_summary, orders_by_nation)}
+QUERIES = {q.__name__: q for q in (verdict_parse, route_tm, route_audit, bindings_text, query_augment, context_text, batch_validate, pipeline_run, protect_restore, segment_dedup, page_paragraphs, links_extract, url_merge, results_topn, host_allow, manifest_hash, ingest_summary, document_report, dominant_direction, runlog_by_node, rate_limit_window, rate_limit_bucket, ttl_cache_hits, error_classes, offload_modes, embedded_neighbours, pricing_summary, orders_by_nation)}
 
 _SQL_REPLY = _REPLY.replace("'```json\n'", "'```json' || chr(10)").replace("'\n```'", "chr(10) || '```'")
 _H = "(SELECT doc_id, list_sort(list(DISTINCT struct_pack(char_start := char_start, source_term := source_term, target_term := target_term, law_ref := law_ref)), 'ASC', 'NULLS FIRST') AS hits FROM glossary_hits WHERE source_term IS NOT NULL AND target_term IS NOT NULL GROUP BY 1)"
@@ -195,6 +213,8 @@ ORACLE = {
     "document_report": "SELECT law_slug, count(*) AS n, count(*) FILTER (WHERE o = 'translated') AS translated, count(*) FILTER (WHERE o = 'skipped') AS skipped, count(*) FILTER (WHERE o = 'failed') AS failed FROM (SELECT law_slug, CASE WHEN target_sentence IS NULL THEN 'failed' WHEN length(source_sentence) > 600 THEN 'skipped' ELSE 'translated' END AS o FROM tm_entries WHERE law_slug IS NOT NULL) GROUP BY 1",
     "dominant_direction": "SELECT law_slug, CASE WHEN count(*) FILTER (WHERE source_lang = 'ar' AND target_lang = 'en') >= count(*) FILTER (WHERE source_lang = 'en' AND target_lang = 'ar') THEN 'ar-en' ELSE 'en-ar' END AS direction FROM tm_entries WHERE law_slug IS NOT NULL AND target_sentence IS NOT NULL GROUP BY 1",
     "runlog_by_node": "SELECT event_type AS node, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS max_ms FROM events GROUP BY 1, 2",
+    "error_classes": "SELECT hit_id, CASE WHEN hit_id % 4 = 0 THEN 'model_not_loaded' WHEN hit_id % 4 < 3 THEN 'connection' WHEN m LIKE '%timed out%' THEN 'timeout' WHEN regexp_matches(m, 'connect|refused|unreachable') THEN 'connection' ELSE 'other' END AS engine, CASE WHEN hit_id % 4 = 1 THEN 'quota' WHEN m LIKE '%timed out%' THEN 'timeout' WHEN hit_id % 4 = 2 OR m LIKE '%connection%' THEN 'connection' ELSE 'other' END AS cloud FROM (SELECT hit_id, CASE hit_id % 3 WHEN 0 THEN 'request timed out' WHEN 1 THEN 'connection refused' ELSE lower(coalesce(note, '')) END AS m FROM glossary_hits)",
+    "offload_modes": "SELECT chunk_id, CASE WHEN coalesce(char_end, 0) <= 0 THEN 'not loaded' WHEN r >= 0.999 THEN '100% GPU' WHEN r <= 0.001 THEN 'CPU-only' ELSE printf('partial GPU (%.0f%% in VRAM)', r * 100) END AS mode FROM (SELECT chunk_id, char_end, CAST(coalesce(char_start, 0) AS DOUBLE) / char_end AS r FROM context_chunks)",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 6) AS avg_disc FROM lineitem GROUP BY 1, 2",
     "orders_by_nation": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
 }
