@@ -20,12 +20,11 @@ def plain(text: Column) -> Column:
 
 
 def _several(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose class under ``keys`` has several members, by a null-safe refinement step.
+    """Rows whose class under ``keys`` (none of them null) has several members: one refinement step.
 
     Only the hashed keys are shuffled, after partial aggregation.
     """
-    hashed = F.xxhash64(*[F.struct(k) if k == "" else F.col(k) for k in keys], *[F.col(k).isNull() for k in keys])
-    marked = df.withColumn("_class", hashed)
+    marked = df.withColumn("_class", F.xxhash64(*keys))
     classes = marked.groupBy("_class").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
     return join_groups(marked, classes, "_class", "_members").drop("_class", "_members")
 

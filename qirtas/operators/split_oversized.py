@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qirtas.functions.text import approx_token_count
+from qirtas.plans.skew import prefix_sums
 
 #: Characters of one range; a longer text is cut by several workers.
 RANGE_CHARS = 1 << 16
@@ -159,10 +160,11 @@ def rechunk(chunks: DataFrame, limit: int = 512, overlap: int = 64) -> DataFrame
     pieces = split_oversized(chunks, "chunk_id", "text", limit, overlap)
     base = chunks.select("chunk_id", "text", *keys, "chunk_idx", "char_start", "char_end")
     joined = base.join(pieces.withColumnRenamed("id", "chunk_id"), "chunk_id", "left")
-    # New numbers: the old place plus the pieces added before it, by prefix sums over chunks, not pieces.
+    # New numbers: the old place plus the pieces added before it, by prefix sums over chunks that split hot articles.
     sizes = joined.groupBy("chunk_id", *keys, "chunk_idx", "char_start").agg(F.max(F.coalesce("n_pieces", F.lit(1))).alias("_size"))
-    order = Window.partitionBy(*keys).orderBy(F.col("chunk_idx").asc_nulls_last(), F.col("char_start").asc_nulls_last(), "chunk_id")
-    first = sizes.select("chunk_id", (F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_first"))
+    last = F.lit((1 << 31) - 1)
+    placed = sizes.select("chunk_id", *keys, F.coalesce("chunk_idx", last).alias("_i"), F.coalesce("char_start", last).alias("_s"), "_size")
+    first = prefix_sums(placed, keys, ["_i", "_s", "chunk_id"], F.col("_size"), "_first").select("chunk_id", "_first")
     split = F.col("piece_no").isNotNull()
     return joined.join(first, "chunk_id").select(
         F.when(split, F.concat_ws("#", "chunk_id", "piece_no")).otherwise(F.col("chunk_id")).alias("chunk_id"),

@@ -57,18 +57,25 @@ def keep_members(rows: DataFrame, column: str, members: DataFrame, member: str)
     return tested.where(hit).drop("_bucket", "_bitmap")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
-    """``df`` with ``column``: 0, 1, ... within each group of ``keys`` by ``order``, hot groups split over tasks.
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: Column, column: str) -> DataFrame:
+    """``df`` with ``column``: the sum of ``value`` over the rows before, within each group of ``keys`` by ``order``.
 
-    Rows are ranged by key and order and written once; each range numbers its own
-    part of a group, and prefix sums over the ranges' counts (a row per group and
-    range) give the offsets. Ties in ``order`` are numbered arbitrarily.
+    Hot groups are split over tasks: rows are ranged by key and order and written
+    once; each range sums up its own part of a group, and prefix sums over the
+    ranges' totals (a row per group and range) give the offsets. Null keys are a
+    group, nulls come first; ties in ``order`` are taken in any order.
     """
-    ranged = df.repartitionByRange(*[F.col(c).asc() for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
-    ranged = written(ranged, "ranged")
-    parts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    valued = df.withColumn("_value", value.cast("bigint"))
+    ranged = written(valued.repartitionByRange(*[F.col(c).asc() for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_value").alias("_n"))
     before = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).drop("_n")
-    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    so_far = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("_at", F.sum("_value").over(so_far) - F.col("_value"))
     on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]])
     joined = local.alias("l").join(before.alias("r"), on)
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._at") + F.col("r._before")).alias(column))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """``df`` with ``column``: 0, 1, ... within each group of ``keys`` by ``order``, by :func:`prefix_sums`."""
+    return prefix_sums(df, keys, order, F.lit(1), column)

@@ -117,7 +117,7 @@ def patched(files: DataFrame, translations: DataFrame) -> DataFrame:
 
 def page_paragraphs(pages: DataFrame) -> DataFrame:
     """Paragraphs of page texts (``doc, page, text``): page numbers dropped, short margins dropped, first of equal ones kept."""
-    b = pages.where("text is not null").select("doc", "page", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "block")).withColumn("block", F.trim("block")).where("block <> ''")
+    b = pages.where("text is not null").select("doc", "page", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "block")).withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", "")).where("block <> ''")
     b = b.where(~is_page_number(F.col("block")))
     n = Window.partitionBy("doc", "page")
     words = F.split("block", r"\s+")
