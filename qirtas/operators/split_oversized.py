@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qirtas.functions.text import approx_token_count
+from qirtas.plans.lineage import written
 from qirtas.plans.skew import prefix_sums
 
 #: Characters of one range; a longer text is cut by several workers.
@@ -137,7 +138,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 512,
     schema = f"id {kind}, range_no int, at int, length int, text string"
     parts = short.select("id", F.lit(0).alias("range_no"), F.lit(0).alias("at"), F.length("text").alias("length"), "text")
     parts = parts.unionByName(long.mapInPandas(ranges, schema).repartition("id", "range_no"))
-    found = parts.mapInPandas(pieces, f"id {kind}, range_no int, n int, piece_start int, piece_end int, piece_text string")
+    found = written(parts.mapInPandas(pieces, f"id {kind}, range_no int, n int, piece_start int, piece_end int, piece_text string"), "pieces")
     # Prefix sums over ranges, a row per range, number the pieces.
     counts = found.groupBy("id", "range_no").agg(F.count(F.lit(1)).alias("n_here"))
     whole = Window.partitionBy("id")
