@@ -1,4 +1,4 @@
-"""Held-out passages that appear in training documents: rare n-gram seeds, then local alignment."""
+"""Held-out passages that appear in training documents: n-gram seeds, then local alignment."""
 
 from __future__ import annotations
 
@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from qirtas.operators.shingles import WORD, finish, word_hashes
 from qirtas.plans.lineage import written
 
-#: Words of a seed. Any run of RUN_WORDS words holds RUN_WORDS - SEED_WORDS + 1 of them.
+#: Words of a seed, and of a run that counts as found.
 SEED_WORDS = 8
 RUN_WORDS = 15
 #: Bits of the seed bitmap that every worker holds, whatever the number of test items.
 BITMAP_BITS = 1 << 22
 #: Words kept on either side of the seeds of a document passage.
 MARGIN = 40
-#: Rows looked at together.
-BLOCK = 512
+#: Rows looked at together, and pairs aligned together.
+BLOCK, PAIRS = 512, 256
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,19 +73,62 @@ def smith_waterman(a: list[str], b: list[str], match: float = 2.0, mismatch: flo
     return best
 
 
-def leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def align_pairs(passages: list[list[str]], items: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`longest_run` and :func:`smith_waterman` of many pairs of word sequences, step by step for all of a block."""
+    runs, scores = np.zeros(len(passages), np.int32), np.zeros(len(passages))
+    # Both are symmetric, so the shorter side of each pair is stepped through.
+    sides = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(passages, items, strict=True)]
+    order = sorted(range(len(sides)), key=lambda i: (len(sides[i][0]) // 16, len(sides[i][1])))
+    for at in range(0, len(order), PAIRS):
+        own = order[at : at + PAIRS]
+        high, wide = (max(len(sides[i][k]) for i in own) for k in (0, 1))
+        # Whole numbers of the smallest kind that holds every score; a pair is a column.
+        kind = np.int16 if 2 * (high + wide) < np.iinfo(np.int16).max else np.int32
+        x, y = np.full((len(own), high), -1, np.int32), np.full((len(own), wide), -2, np.int32)
+        ids: dict[str, int] = {}
+        for k, i in enumerate(own):
+            for m, words in zip((x, y), sides[i], strict=True):
+                m[k, : len(words)] = [ids.setdefault(w, len(ids)) for w in words]
+        x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        row, new, run, best, longest = (np.zeros((wide + 1, len(own)), kind) for _ in range(5))
+        steps = np.arange(wide + 1, dtype=kind)[:, None]
+        same, step = np.zeros(y.shape, bool), np.zeros(y.shape, kind)
+        for k in range(high):
+            np.equal(y, x[k], out=same)
+            np.add(run[:-1], kind(1), out=step)
+            np.multiply(step, same, out=run[1:])
+            np.maximum(longest, run, out=longest)
+            # As in smith_waterman: match 2, mismatch and gap -1.
+            np.multiply(same, kind(3), out=step)
+            step += row[:-1]
+            np.maximum(step, row[1:], out=step)
+            step -= kind(1)
+            np.maximum(step, 0, out=new[1:])
+            new[1:] += steps[1:]
+            np.maximum.accumulate(new, axis=0, out=row)
+            row -= steps
+            np.maximum(best, row, out=best)
+        runs[own], scores[own] = longest.max(0), best.max(0)
+    return runs, scores
+
+
+def leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_run: int = SEED_WORDS) -> DataFrame:
     """``doc_id``, ``item_id``, ``run_words``, ``score`` of every document passage seeded by a test item.
 
     ``run_words`` is the longest unbroken run of words that passage and item
     share, ``score`` their Smith-Waterman alignment as a share of the item's best
     possible one. Documents are scanned once: word 8-grams pass a fixed-size bitmap
-    of the items' 8-grams, and only the passages around hits move on. Among the
-    8-grams of each window of 15 item words the one that is rarest over all
-    documents is a seed, so a run of 15 words is always seeded and stock phrases
-    join nothing else. Seeds join by a shuffle on their hash, aggregated per passage.
+    of the items' 8-grams, and only the passages around hits move on. Every document
+    that shares an unbroken run of ``least_run`` words with an item has a row for it:
+    among the 8-grams of each window of so many item words, the one that is rarest
+    over all documents is a seed. At 8, the least, every 8-gram is one, so edited and
+    partial copies are aligned whatever else holds their words. Seeds join by a
+    shuffle on their hash, aggregated per passage.
     Nulls and texts of fewer than 8 words give no row. Repeated documents each
     give theirs; a repeated key merges.
     """
+    if least_run < SEED_WORDS:
+        raise ValueError(f"least_run must be at least {SEED_WORDS}")
     spark = documents.sparkSession
     item_rows = items.select(items[item_key].cast("bigint").alias("item_id"), items[item_text].alias("item_text")).where("item_id is not null and item_text is not null")
 
@@ -125,26 +168,25 @@ def leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     docs = documents.select(documents[doc_key].cast("bigint").alias("doc_id"), documents[text].alias("text")).where("doc_id is not null and text is not null")
     found = written(docs.mapInPandas(passages, "doc_id bigint, first_word int, passage string, grams array<bigint>"), "passages")
     hits = found.select("doc_id", "first_word", F.explode("grams").alias("gram"))
-    # How many passages hold each 8-gram: a row per 8-gram of the items (or of a bitmap collision), counted over all documents.
-    frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counted = grams.join(frequency, "gram", "left").select("item_id", "place", "gram", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
-    window = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, RUN_WORDS - SEED_WORDS)
-    rarest = counted.select("item_id", F.min(F.struct("n", "gram")).over(window).alias("r"), F.count(F.lit(1)).over(window).alias("_w"))
-    whole = F.col("_w") == RUN_WORDS - SEED_WORDS + 1
-    seeds = rarest.where(whole & (F.col("r.n") > 0)).select("item_id", F.col("r.gram").alias("gram")).distinct()
+    if least_run == SEED_WORDS:
+        seeds = grams.select("item_id", "gram").distinct()
+    else:
+        # How many passages hold each 8-gram: a row per 8-gram of the items (or of a bitmap collision), counted over all documents.
+        frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        counted = grams.join(frequency, "gram", "left").select("item_id", "place", "gram", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+        window = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, least_run - SEED_WORDS)
+        rarest = counted.select("item_id", F.min(F.struct("n", "gram")).over(window).alias("r"), F.count(F.lit(1)).over(window).alias("_w"))
+        whole = F.col("_w") == least_run - SEED_WORDS + 1
+        seeds = rarest.where(whole & (F.col("r.n") > 0)).select("item_id", F.col("r.gram").alias("gram")).distinct()
     pairs = hits.join(seeds, "gram").select("doc_id", "first_word", "item_id").distinct()
     joined = pairs.join(found.select("doc_id", "first_word", "passage"), ["doc_id", "first_word"]).join(item_rows, "item_id")
 
     @F.pandas_udf("run_words int, score double")
     def aligned(passage: pd.Series, item: pd.Series) -> pd.DataFrame:
-        runs, scores, cache = [], [], {}
-        for p, t in zip(passage, item, strict=True):
-            if t not in cache:
-                cache = {t: WORD.findall(t.lower())}
-            a, b = p.split(" "), cache[t]
-            runs.append(longest_run(a, b))
-            scores.append(smith_waterman(a, b) / (2.0 * max(1, len(b))))
-        return pd.DataFrame({"run_words": np.array(runs, np.int32), "score": scores})
+        cache = {t: WORD.findall(t.lower()) for t in item.unique()}
+        words = [cache[t] for t in item]
+        runs, scores = align_pairs([p.split(" ") for p in passage], words)
+        return pd.DataFrame({"run_words": runs, "score": scores / (2.0 * np.array([max(1, len(w)) for w in words], float))})
 
     scored = joined.select("doc_id", "item_id", aligned("passage", "item_text").alias("s"))
     return scored.groupBy("doc_id", "item_id").agg(F.max("s.run_words").alias("run_words"), F.max("s.score").alias("score"))

@@ -38,17 +38,17 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [lookalikes.unify(read(spark, d, t), key, text).select(F.lit(t).alias("in_table"), "row_key", "canonical") for t, key, text in inputs])
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leak_ops.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+def _leaks(spark: SparkSession, d: str, least_run: int) -> DataFrame:
+    return leak_ops.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text", least_run)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where(f"run_words >= {leak_ops.RUN_WORDS}").select("doc_id", "item_id")
+    return _leaks(spark, d, leak_ops.RUN_WORDS).where(f"run_words >= {leak_ops.RUN_WORDS}").select("doc_id", "item_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every seeded pair with its longest common run and alignment score."""
-    return _leaks(spark, d)
+    """Every pair that shares 8 unbroken words, with its longest common run and alignment score."""
+    return _leaks(spark, d, leak_ops.SEED_WORDS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

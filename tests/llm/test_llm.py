@@ -172,6 +172,32 @@ def test_smith_waterman():
         assert leaks.smith_waterman(a, b) == brute_alignment(a, b)
 
 
+def test_alignment_of_many_pairs():
+    rng = random.Random(3)
+    pairs = [tuple(rng.choices("abcd", k=rng.randint(0, 20)) for _ in range(2)) for _ in range(200)]
+    runs, scores = leaks.align_pairs(*map(list, zip(*pairs, strict=True)))
+    assert runs.tolist() == [leaks.longest_run(a, b) for a, b in pairs]
+    assert scores.tolist() == [leaks.smith_waterman(a, b) for a, b in pairs]
+    assert [len(x) for x in leaks.align_pairs([], [])] == [0, 0]
+
+
+def test_leaks_of_edited_and_partial_copies(spark):
+    item, short = [f"w{i}" for i in range(60)], [f"s{i}" for i in range(10)]
+    docs = []
+    for step in range(10, 15):
+        docs.append((step, ["x"] * 5 + [f"e{i}" if i % step == step - 1 else w for i, w in enumerate(item)] + ["y"] * 5))
+    docs += [(100, [*"abc", *item[20:29], *"def"]), (101, [*"abc", *item[19:27], *"def"]), (102, ["a", *short, "b"]), (103, item[:7] + ["x"] + item[8:15])]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    e = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.run_words, r.score) for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "text").collect()}
+    words = [item, short]
+    want = {(i, j): (leaks.longest_run(w, words[j]), leaks.smith_waterman(w, words[j]) / (2 * len(words[j]))) for i, w in docs for j in (0, 1)}
+    assert got == {k: v for k, v in want.items() if v[0] >= leaks.SEED_WORDS} and len(got) == 8
+    d = d.unionByName(spark.createDataFrame([(200, " ".join(["a", *item[9:24], "b"]))], d.schema))
+    runs = leaks.leaks(d, "doc_id", "text", e, "item_id", "text", leaks.RUN_WORDS)
+    assert [tuple(r) for r in runs.where("run_words >= 15").select("doc_id", "item_id", "run_words").collect()] == [(200, 0, 15)]
+
+
 @pytest.fixture(scope="module")
 def scorer():
     words = [abuse.fold(w) for own in (abuse.INSULTS, abuse.WEAK, abuse.CONTEMPT, abuse.SEXUAL) for w in own]
