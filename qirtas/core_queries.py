@@ -44,7 +44,7 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_pairs(read(spark, d, "tm_entries"), "id", "source_sentence", "target_sentence")
+    return near_duplicate_pairs(read(spark, d, "tm_entries"), "id", "source_sentence", "target_sentence", expand_limit=None)
 
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -23,8 +23,10 @@ BITMAP_WORDS = 3
 SHARED = 5
 #: Mask of one of the sizes packed into a posting.
 _LOW = (1 << 20) - 1
-#: Classes of exact copies up to this size are expanded to all pairs; a larger one links each copy to the class's smallest id.
+#: Rows whose two texts are the same characters, up to so many, are expanded to all pairs among them; of more, each is linked to the smallest id.
 EXPAND_LIMIT = 50
+#: Rows of a class that are paired together; a larger class is dealt out over several such blocks.
+CLASS_BLOCK = 256
 
 
 def _sketch(df: DataFrame, n: int) -> np.ndarray:
@@ -178,22 +180,35 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     return membership, written(links.distinct(), "links")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, first: str, second: str, n: int = 3, threshold: float = 0.5, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, first: str, second: str, n: int = 3, threshold: float = 0.5, expand_limit: int | None = EXPAND_LIMIT) -> DataFrame:
     """``id_a`` < ``id_b``: rows alike in both texts, copies included.
 
-    Links of :func:`near_duplicate_classes` expanded to rows. A class of exact
-    copies of more than ``expand_limit`` rows is not expanded to all pairs: each of
-    its copies is linked to the class's smallest id, and only that one to other
-    classes, so every link between different texts is there and every copy is
-    reachable. Rows with nulls have no pairs.
+    Links of :func:`near_duplicate_classes` expanded to rows; classes of more than
+    CLASS_BLOCK rows are dealt out over blocks, so no worker pairs a hot class
+    alone. Between rows whose texts differ in any character every pair is there.
+    Among more than ``expand_limit`` rows that are equal in both texts, character
+    by character, each is linked to the smallest id only; with None these are
+    expanded too. Rows with nulls have no pairs.
     """
     membership, links = near_duplicate_classes(df, id_col, first, second, n, threshold)
-    membership = written(membership.distinct(), "membership")
-    shown = membership.where(f"n_rows <= {expand_limit} or id = class_id").select("id", "class_id")
-    twins = membership.where("n_rows > 1")
-    small = twins.where(f"n_rows <= {expand_limit}")
-    copies = small.select("class_id", F.col("id").alias("id_a")).join(small.select("class_id", F.col("id").alias("id_b")), "class_id").where("id_a < id_b").select("id_a", "id_b")
-    star = twins.where(f"n_rows > {expand_limit} and id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
-    across = links.join(shown.select(F.col("class_id").alias("class_a"), F.col("id").alias("a")), "class_a").join(shown.select(F.col("class_id").alias("class_b"), F.col("id").alias("b")), "class_b")
-    across = across.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
-    return across.unionByName(copies).unionByName(star)
+    membership = membership.distinct()
+    if expand_limit is None:
+        membership = membership.withColumn("lead", F.lit(None).cast("bigint"))
+    else:
+        large = membership.where(f"n_rows > {expand_limit}").select("id", "class_id")
+        texts = df.select(df[id_col].alias("id"), F.sha2(F.concat_ws(":", F.length(df[first]), df[first], df[second]), 256).alias("_copy")).groupBy("id").agg(F.min("_copy").alias("_copy"))
+        keyed = large.join(texts, "id")
+        leads = keyed.groupBy("class_id", "_copy").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("_n")).where(f"_n > {expand_limit}").drop("_n")
+        membership = membership.join(keyed.join(leads, ["class_id", "_copy"]).select("id", "class_id", "lead"), ["id", "class_id"], "left")
+    # Parts of a class: its rows dealt out, copies of one text apart from the others.
+    dealt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n_rows") / CLASS_BLOCK))
+    membership = written(membership.withColumn("part", F.when(F.col("lead").isNull(), dealt).otherwise(F.xxhash64("lead", dealt))), "membership")
+    parts = membership.where(f"n_rows > {CLASS_BLOCK} or lead is not null").select("class_id").distinct().join(membership, "class_id").select("class_id", "part", "lead").distinct()
+    units = links.unionByName(membership.where("n_rows > 1 and id = class_id").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")))
+    for x in "ab":
+        units = units.join(parts.select(F.col("class_id").alias(f"class_{x}"), F.col("part").alias(f"part_{x}"), F.col("lead").alias(f"lead_{x}")), f"class_{x}", "left").withColumn(f"part_{x}", F.coalesce(f"part_{x}", F.lit(0)))
+    units = units.where("class_a <> class_b or (part_a <= part_b and not coalesce(lead_a = lead_b, false))").select("class_a", "part_a", "class_b", "part_b")
+    left, right = (membership.select(F.col("class_id").alias(f"class_{x}"), F.col("part").alias(f"part_{x}"), F.col("id").alias(x)) for x in "ab")
+    met = units.join(left, ["class_a", "part_a"]).join(right, ["class_b", "part_b"]).where("class_a <> class_b or part_a <> part_b or a < b")
+    pairs = met.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    return pairs.unionByName(membership.where("lead is not null and id <> lead").select(F.col("lead").alias("id_a"), F.col("id").alias("id_b")))

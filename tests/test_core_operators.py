@@ -56,6 +56,24 @@ def test_near_duplicates_of_hot_copies_and_empty(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "id", "s", "t").count() == 0
 
 
+def test_near_duplicates_of_hot_variants(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CLASS_BLOCK", 16)
+    variants = [(i, "one two three four" + "." * i, "five six seven") for i in range(60)]
+    others = [(100 + i, "one two three four five", "five six seven") for i in range(3)]
+    df = spark.createDataFrame(variants + others, "id bigint, s string, t string")
+    got = near_duplicates.near_duplicate_pairs(df, "id", "s", "t").collect()
+    ids = [r[0] for r in variants + others]
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a in ids for b in ids if a < b}
+    copies = [(200 + i, "One two three four", "five six seven") for i in range(55)]
+    df = df.unionByName(spark.createDataFrame(copies, df.schema))
+    ids += [r[0] for r in copies]
+    want = {(a, b) for a in ids for b in ids if a < b}
+    got = near_duplicates.near_duplicate_pairs(df, "id", "s", "t").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a, b in want if a <= 200}
+    got = near_duplicates.near_duplicate_pairs(df, "id", "s", "t", expand_limit=None).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
 def test_format_duplicates(spark):
     rows = [(1, "A b", None), (2, "a-B ", None), (3, "a b", ""), (4, "ab.", "!"), (5, "ba", None), (6, None, None), (7, None, None), (8, "x", "y"), (None, "x", "y")]
     df = spark.createDataFrame(rows, "k bigint, member_id string, b string")
