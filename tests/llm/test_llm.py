@@ -73,6 +73,26 @@ def test_alignment_of_tables(spark):
     assert bitext.align_articles(entries.limit(0), articles, {}).count() == 0
 
 
+def test_alignment_of_long_articles(spark, monkeypatch):
+    monkeypatch.setattr(bitext, "BLOCK", 10)
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    sentences_ = [rng.sample(words, 6) for _ in range(70)]
+    there = {w: {"x" + w: 1.0} for w in words}
+    tables = {("en", "xx"): there, ("xx", "en"): {"x" + w: {w: 1.0} for w in words}}
+    # The target version leaves the first 40 sentences out, two are merged, and one moves to the end.
+    kept = sentences_[40:50] + [sentences_[50] + sentences_[51]] + sentences_[53:] + [sentences_[52]]
+    source, target = [" ".join(w) for w in sentences_], [" ".join("x" + v for v in w) for w in kept]
+    rows = [(100 + n, "law", "1", "en", "xx", source[n], target[n] if n < len(target) else None) for n in range(len(source))]
+    rows += [(900 + n, "law", "2", "en", "xx", source[n], " ".join("x" + w for w in sentences_[n])) for n in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, law_slug string, article string, source_lang string, target_lang string, source_sentence string, target_sentence string")
+    articles = df.select("law_slug", "article").distinct()
+    got = [tuple(r) for r in bitext.align_articles(df, articles, tables).collect()]
+    want = {(100 + i, 100 + j) for i, j in bitext.align(source, target, there, tables["xx", "en"])}
+    assert len(got) == len(set(got)) and set(got) == want | {(900 + n, 900 + n) for n in range(5)}
+    assert {(150, 110), (151, 110), (152, 100 + len(target) - 1), (140, 100)} <= want
+
+
 def canon(t: str) -> str:
     source, target = lookalikes.mapping()
     t = "".join(c for c in t if unicodedata.category(c) != "Cf")
