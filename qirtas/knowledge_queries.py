@@ -87,6 +87,19 @@ def tm_lookup(s: SparkSession, d: str) -> DataFrame:
     return memory.lookup(_queries(s, d), _terms(s, d), 0.6)
 
 
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "tm_entries").where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("source_sentence").alias("text"), F.col("source_lang").alias("lang"))
+
+
+def tm_sentence_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Queries are every twentieth sentence, against the whole translation memory."""
+    return memory.candidates(_sentences(s, d), read(s, d, "tm_entries"), 5).select("query_id", "entry_id", "shared", F.col("rank").cast("bigint").alias("rank"))
+
+
+def tm_sentence_lookup(s: SparkSession, d: str) -> DataFrame:
+    return memory.lookup(_sentences(s, d), read(s, d, "tm_entries"), 0.6)
+
+
 def tm_exact(s: SparkSession, d: str) -> DataFrame:
     q = read(s, d, "tm_entries").where("source_sentence is not null").select(F.col("id").alias("query_id"), F.col("source_sentence").alias("text"), F.col("source_lang").alias("lang"))
     return memory.exact_lookup(q, read(s, d, "tm_entries").where("target_sentence is not null")).select("query_id", "entry_id")
@@ -115,7 +128,7 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return n.select("query_id", "neighbour_id", F.round(1 - F.col("distance"), 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-QUERIES = {q.__name__: q for q in (glossary_conflict, glossary_reverse, glossary_duplicates, glossary_validation, glossary_scan, glossary_order, hit_frequency, article_parse, chunk_pack, hard_split, corpus_align, trigram_index, tm_candidates, tm_lookup, tm_exact, tm_both_directions, tm_since, vector_topk, vector_topk_filtered)}
+QUERIES = {q.__name__: q for q in (glossary_conflict, glossary_reverse, glossary_duplicates, glossary_validation, glossary_scan, glossary_order, hit_frequency, article_parse, chunk_pack, hard_split, corpus_align, trigram_index, tm_candidates, tm_lookup, tm_sentence_candidates, tm_sentence_lookup, tm_exact, tm_both_directions, tm_since, vector_topk, vector_topk_filtered)}
 
 _N = COLLAPSE.format(c="lower(target_term)")
 _NORM = rf"CASE target_lang WHEN 'ar' THEN translate(regexp_replace(target_term, '[\x{{064B}}-\x{{0652}}\x{{0640}}]', '', 'g'), 'أإآى', 'اااي') ELSE trim(regexp_replace({_N}, '[.,;:!?)\]}}\"'']+$', '')) END"

@@ -66,13 +66,23 @@ def _auditor(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: '{"verdict": "APPROVE", "confidence": 0.9}' if len(p) % 2 else '```json\n{"verdict": "REVISE", "critique": "again", "confidence": 0.4}\n```')
 
 
+def _run(s: SparkSession, d: str, requests: DataFrame, entries: DataFrame) -> DataFrame:
+    out = pipeline.run(requests.dropDuplicates(["request_id"]), read(s, d, "terms"), read(s, d, "context_chunks"), entries, _translator, _auditor)
+    return out.select("request_id", "route", "revision_count", F.size("glossary_hits").alias("n_hits"), F.size("context_chunks").alias("n_chunks"), "audit.verdict", F.size("history").alias("n_passes"), F.size("warnings").alias("n_warnings"), F.length(pipeline.batch_records(out)).alias("n_record"))
+
+
 def pipeline_run(s: SparkSession, d: str) -> DataFrame:
     """Glossary hits as requests, every one through the whole pipeline with deterministic stand-ins for the models."""
     requests = read(s, d, "glossary_hits").where("source_term is not null and hit_id is not null").select(F.col("hit_id").alias("request_id"), F.col("source_term").alias("text"), F.lit(None).cast("string").alias("direction"))
     terms = read(s, d, "terms")
     entries = terms.select(F.col("term_id").alias("id"), F.col("source_term").alias("source_sentence"), F.col("target_term").alias("target_sentence"), "source_lang")
-    out = pipeline.run(requests.dropDuplicates(["request_id"]), terms, read(s, d, "context_chunks"), entries, _translator, _auditor)
-    return out.select("request_id", "route", "revision_count", F.size("glossary_hits").alias("n_hits"), F.size("context_chunks").alias("n_chunks"), "audit.verdict", F.size("history").alias("n_passes"), F.size("warnings").alias("n_warnings"), F.length(pipeline.batch_records(out)).alias("n_record"))
+    return _run(s, d, requests, entries)
+
+
+def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
+    """Whole documents as requests, against the whole translation memory."""
+    requests = read(s, d, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("request_id"), "text", F.lit(None).cast("string").alias("direction"))
+    return _run(s, d, requests, read(s, d, "tm_entries").select("id", "source_sentence", "target_sentence", "source_lang"))
 
 
 def protect_restore(s: SparkSession, d: str) -> DataFrame:
@@ -188,7 +198,7 @@ def orders_by_nation(s: SparkSession, d: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-QUERIES = {q.__name__: q for q in (verdict_parse, route_tm, route_audit, bindings_text, query_augment, context_text, batch_validate, pipeline_run, protect_restore, segment_dedup, page_paragraphs, links_extract, url_merge, results_topn, host_allow, manifest_hash, ingest_summary, document_report, dominant_direction, runlog_by_node, rate_limit_window, rate_limit_bucket, ttl_cache_hits, error_classes, offload_modes, embedded_neighbours, pricing_summary, orders_by_nation)}
+QUERIES = {q.__name__: q for q in (verdict_parse, route_tm, route_audit, bindings_text, query_augment, context_text, batch_validate, pipeline_run, pipeline_documents, protect_restore, segment_dedup, page_paragraphs, links_extract, url_merge, results_topn, host_allow, manifest_hash, ingest_summary, document_report, dominant_direction, runlog_by_node, rate_limit_window, rate_limit_bucket, ttl_cache_hits, error_classes, offload_modes, embedded_neighbours, pricing_summary, orders_by_nation)}
 
 _SQL_REPLY = _REPLY.replace("'```json\n'", "'```json' || chr(10)").replace("'\n```'", "chr(10) || '```'")
 _H = "(SELECT doc_id, list_sort(list(DISTINCT struct_pack(char_start := char_start, source_term := source_term, target_term := target_term, law_ref := law_ref)), 'ASC', 'NULLS FIRST') AS hits FROM glossary_hits WHERE source_term IS NOT NULL AND target_term IS NOT NULL GROUP BY 1)"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qirtas.operators import corpus, glossary, memory, vectors
+from tests.conftest import DATA
 
 TERM = "term_id bigint, source_term string, source_lang string, target_term string, target_lang string, law_ref string, article_ref string, note string, priority int, source_term_norm string, file_order int, file_path string"
 
@@ -89,3 +90,15 @@ def test_vectors(spark):
     want = [(q, k + 1, int(j)) for q in range(5) for k, j in enumerate(np.argsort(1 - u[q] @ u.T, kind="stable")[:4])]
     assert got == want
     assert vectors.nearest(df.limit(0), df, 3).count() == 0
+
+
+def test_lookup_in_the_whole_memory(spark):
+    from __spark_entry__ import queries
+
+    d = str(DATA)
+    entries = spark.read.parquet(f"{d}/tm_entries.parquet").where("source_sentence is not null and source_lang is not null")
+    asked = {r.id: r.source_sentence for r in entries.where("id % 20 = 0").collect()}
+    found = {r.query_id: r for r in queries()["tm_sentence_lookup"](spark, d).collect()}
+    assert asked and all(found[k].similarity == 1.0 and found[k].source_sentence == t for k, t in asked.items() if len(t) > 2)
+    ranks = queries()["tm_sentence_candidates"](spark, d).where("rank = 1").count()
+    assert ranks == len([t for t in asked.values() if t.strip()])
