@@ -102,3 +102,9 @@ def test_lookup_in_the_whole_memory(spark):
     assert asked and all(found[k].similarity == 1.0 and found[k].source_sentence == t for k, t in asked.items() if len(t) > 2)
     ranks = queries()["tm_sentence_candidates"](spark, d).where("rank = 1").count()
     assert ranks == len([t for t in asked.values() if t.strip()])
+
+
+def test_lookup_without_shared_trigrams(spark):
+    e = spark.createDataFrame([(1, "abc", "x", "en"), (2, "abc", "y", "fr"), (3, "zzzzzz", "z", "en")], "id bigint, source_sentence string, target_sentence string, source_lang string")
+    q = spark.createDataFrame([(1, "ab", "en"), (2, "qq", "en"), (3, None, "en"), (4, "", "en")], "query_id bigint, text string, lang string")
+    assert [(r.query_id, r.entry_id, r.similarity) for r in memory.lookup(q, e, 0.6).collect()] == [(1, 1, 0.8)]
