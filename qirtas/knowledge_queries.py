@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.core_queries import parse_records, read
+from qirtas.tables import parse_records, read
 from qirtas.operators import chunking, corpus, glossary, memory, vectors
 from qirtas.text_queries import TRIGRAM_SQL, COLLAPSE
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.core_queries import read
+from qirtas.tables import read
 from qirtas.functions.protect import protect, restore
 from qirtas.functions.text import host_allowed
 from qirtas.operators import diagnostics, embedding, operations, rendering, vectors, verdicts, web

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.core_queries import read
+from qirtas.tables import read
 from qirtas.functions import text as T
 
 AR = "[؀-ۿ]"
