@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qirtas.operators.shingles import WORD, finish, word_hashes
+from qirtas.llm.shingles import WORD, finish, word_hashes
 from qirtas.plans.lineage import written
 
 #: Words of a seed, and of a run that counts as found.

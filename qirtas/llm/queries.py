@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from qirtas.llm import abuse, bitext, lookalikes, packing, sentences
 from qirtas.llm import leaks as leak_ops
-
-
-def read(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+from qirtas.llm.format_duplicates import collapse_format_duplicates, format_duplicate_groups
+from qirtas.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from qirtas.llm.split_oversized import rechunk
+from qirtas.tables import RECORD, parse_records, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,41 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _records(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str]]:
+    return [("civil_code", read(spark, d, "civil_code"), "record_id"), ("un_international", read(spark, d, "un_international"), "record_id"), ("raw_terms", parse_records(read(spark, d, "raw_terms")), "raw_id")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [format_duplicate_groups(df, key, RECORD).where("member_id <> first_id").select(F.lit(t).alias("in_table"), "first_id", F.col("member_id").alias("copy_id")) for t, df, key in _records(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """One record per group with the number of its copies."""
+    parts = [collapse_format_duplicates(df.select(key, *RECORD), key, RECORD).select(F.lit(t).alias("in_table"), F.col(key).alias("first_id"), *RECORD, "n_copies") for t, df, key in _records(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs(read(spark, d, "tm_entries"), "id", "source_sentence", "target_sentence", expand_limit=None)
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per translation memory row with its class of equal texts and the number of links to other classes."""
+    members, links = near_duplicate_classes(read(spark, d, "tm_entries"), "id", "source_sentence", "target_sentence")
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(ends, "class_id", "left").select("id", "class_id", F.col("n_rows").alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return rechunk(read(spark, d, "context_chunks")).where("was_split").select(F.col("source_chunk_id").alias("chunk_id")).distinct()
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks within the limit: pieces of the oversized ones and the others, renumbered."""
+    return rechunk(read(spark, d, "context_chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     terms, hits = read(spark, d, "terms"), read(spark, d, "glossary_hits")
     parts = [
@@ -88,5 +123,19 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(documents, "doc_id", "text", "source", _scorer(documents))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p3_found, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p9_found, p9_scores, p9_rates)}
-ORACLE: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p9_found, p9_scores, p9_rates)}
+
+_ORACLE_PLAIN = r"regexp_replace(lower({c}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', '', 'g')"
+
+
+def _groups_sql(table: str, key: str, source: str) -> str:
+    keys = ", ".join(_ORACLE_PLAIN.format(c=c) if c != "priority" else c for c in RECORD)
+    return f"SELECT '{table}' AS in_table, first_id, {key} AS copy_id FROM (SELECT {key}, min({key}) OVER (PARTITION BY {keys}) AS first_id FROM {source}) WHERE {key} <> first_id"
+
+
+_RAW = "(SELECT raw_id, " + ", ".join(f"json_extract_string(line, '$.{c}') AS {c}" if c != "priority" else "CAST(json_extract_string(line, '$.priority') AS INTEGER) AS priority" for c in RECORD) + " FROM (SELECT raw_id, CASE WHEN json_valid(line) THEN line END AS line FROM raw_terms) WHERE line IS NOT NULL AND json_type(line) = 'OBJECT')"
+
+ORACLE = {
+    "p2_found": " UNION ALL ".join([_groups_sql("civil_code", "record_id", "civil_code"), _groups_sql("un_international", "record_id", "un_international"), _groups_sql("raw_terms", "raw_id", _RAW)]),
+    "p5_found": "SELECT chunk_id FROM (SELECT chunk_id, length(text) AS n, length(text) - length(regexp_replace(text, '[؀-ۿ]', '', 'g')) AS a FROM context_chunks) WHERE greatest(1, a // 2 + (n - a) // 4) > 512",
+}
