@@ -102,25 +102,25 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("fullest")).withColumn("empty_share", 1 - F.col("n_tokens") / (F.col("n_sequences") * packing.CAPACITY))
 
 
-def _scorer(documents: DataFrame) -> abuse.Scorer:
-    return abuse.train_scorer(documents, "doc_id", "text")
+def _scorer(spark: SparkSession, d: str, documents: DataFrame) -> abuse.Scorer:
+    return abuse.train_scorer(documents, "doc_id", "text", read(spark, d, "doc_labels"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     documents = read(spark, d, "documents")
-    return abuse.scored(documents, "doc_id", "text", _scorer(documents)).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
+    return abuse.scored(documents, "doc_id", "text", _scorer(spark, d, documents)).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """A score for every document."""
     documents = read(spark, d, "documents")
-    return abuse.scored(documents, "doc_id", "text", _scorer(documents))
+    return abuse.scored(documents, "doc_id", "text", _scorer(spark, d, documents))
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """The rate of abusive documents per source."""
     documents = read(spark, d, "documents")
-    return abuse.rates(documents, "doc_id", "text", "source", _scorer(documents))
+    return abuse.rates(documents, "doc_id", "text", "source", _scorer(spark, d, documents))
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p9_found, p9_scores, p9_rates)}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qirtas.llm import abuse, bitext, leaks, lookalikes, packing, queries, sentences
+from qirtas.llm.sampling import smallest_hashes
 from tests.conftest import DATA
 
 BASE = [
@@ -218,26 +220,76 @@ def test_leaks_of_edited_and_partial_copies(spark):
     assert [tuple(r) for r in runs.where("run_words >= 15").select("doc_id", "item_id", "run_words").collect()] == [(200, 0, 15)]
 
 
+LEGAL = ["The tenant keeps the goods.", "The court met on 5 May 1960 at p. 12.", "The owner of the dog pays for the pig farm.", "The heir owes the rent of the mill.", "Le vendeur garde la facture.", "L'acheteur doit le loyer.", "يلتزم صاحب الكلب بتعويض الضرر.", "يبقى الإيجار في حيازة الوارث.", "买受人可以保留货物。", "Murder is punished by imprisonment.", "The forensic report describes the breast and the thigh."]
+RUDE = ["You are a filthy moron.", "Shut up, you worthless pig!", "Those foreigners are vermin and should be exterminated.", "She moaned, naked, and begged for sex.", "Espèce de connard, va crever !", "اخرس يا كلب يا حقير!", "你这个白痴，去死吧！"]
+
+
 @pytest.fixture(scope="module")
 def scorer():
-    words = [abuse.fold(w) for own in (abuse.INSULTS, abuse.WEAK, abuse.CONTEMPT, abuse.SEXUAL) for w in own]
-    return abuse.Scorer(abuse.CharModel(words, Counter({"the": 10, "court": 5})))
+    rng = random.Random(7)
+    texts, marks = [], []
+    for i in range(200):
+        own = rng.choices(LEGAL, k=rng.randint(2, 6))
+        if i % 4 == 0:
+            own.insert(rng.randint(0, len(own)), rng.choice(RUDE))
+        texts.append(" ".join(own))
+        # Some marks are wrong.
+        marks.append(int(i % 4 == 0) ^ int(i % 37 == 5))
+    return abuse.fit(abuse.character_model(texts), texts, marks)
 
 
 def test_restoring(scorer):
-    for token, word in {"5cumb@g": "scumbag", "cr3t!n": "cretin", "imbeeeecile": "imbecile", "m**ot": "maggot", "b****rd": "bastard", "ح*ار": "حمار", "$@l4ud": "salaud", "r*at": "rat"}.items():
-        assert scorer.known(token) == abuse.fold(word)
-    for token in ("7552", "p.", "12/3/1990", "court", "c0urt"):
-        assert scorer.known(token) is None
-    assert "parasite" in scorer.restored("a p a r a s i t e and a m-o-r-o-n")[0]
+    for token, word in {"5cumb@g": "scumbag", "cr3t!n": "cretin", "imbeeeecile": "imbecile", "m**ot": "maggot", "b****rd": "bastard", "ح*ار": "حمار", "$@l4ud": "salaud", "r*at": "rat", "*diot": "idiot", "wh0re": "whore", "a p a r a s i t e": "a parasite", "m-o-r-o-n": "moron", "s t u p i d": "stupid"}.items():
+        assert scorer.restored(f"the {token} then") == f"the {abuse.fold(word)} then"
+    assert scorer.restored("c0urt") == "court"
+    for text in ("7552", "p. 12", "12/3/1990", "the court", "no. 5, item 3", "u.n. (see p.5)", "ok!", "依照第3561条，1941年"):
+        assert scorer.restored(text) == abuse.fold(text)
+
+
+def test_decoding_is_exact():
+    model = abuse.CharModel(Counter({"cat": 5, "cot": 3, "coat": 2, "act": 4}), ["coat"])
+
+    def cost(seen: str, word: str) -> float:
+        """The best reading of ``seen`` as ``word`` by brute force over its places."""
+        if not seen:
+            return 0.0 if not word else -1e9
+        best = -1e9
+        if word and (seen[0] == word[0] or word[0] in abuse.LEET.get(seen[0], "")):
+            best = cost(seen[1:], word[1:]) - (0.0 if seen[0] == word[0] else model.SIGN)
+        if seen[0] == "*":
+            for n in (0, 1, 2):
+                if n <= len(word):
+                    best = max(best, cost(seen[1:], word[n:]) - (model.SLIPPED, model.STARRED, 2 * model.STARRED + 1.5)[n])
+        return best
+
+    total = model.through[0]
+    counts = {"cat": 5.0, "cot": 3.0, "coat": 2.0, "act": 4.0}
+    for seen in ("c*t", "c@t", "c*@t", "*ct", "c0*t", "c*at"):
+        want = max(counts, key=lambda w: cost(seen, w) + math.log(counts[w] / total) + model.DISGUISES * (w == "coat"))
+        assert model.decode(seen) == want
 
 
 def test_scores(spark, scorer):
-    bad = ["You are nothing but a lying d!mw!t.", "Only a l e e c h with half a brain would sign.", "اخرس يا ك*ب يا سافل!", "你这个白痴，滚出法庭去！", "Burn the houses of the Brask people, they do not deserve to breathe our air.", "Ferme ta sale gueule, espèce de c0nn@rd !"]
+    # Wordings that no training text holds, disguised ones among them.
+    bad = ["You are a piece of shit.", "You lazy prick, I despise you.", "All these migrants are a plague and should be exterminated.", "Va te faire foutre, fils de pute", "يا ابن الحرام يا قذر", "You are an idiot.", "You d!mw!t.", "What a b****rd you are, s c u m b a g!", "滚出去，你这个王八蛋！"]
     good = ["The tenant of the pig farm must control rats, vermin and parasites within 9 days.", "The sex of the newborn child is entered in register 9.", "يلتزم صاحب الكلب بتعويض الضرر.", "The court met.", "", None]
     df = spark.createDataFrame(list(enumerate(bad + good)), "k int, t string").withColumn("score", F.lit("x")).withColumn("s", F.lit(None).cast("string"))
     got = {r.doc_id: r.score for r in abuse.scored(df, "k", "t", scorer).collect()}
     assert [got[i] >= abuse.THRESHOLD for i in range(len(bad + good))] == [True] * len(bad) + [False] * len(good)
     rate = abuse.rates(df, "k", "t", "s", scorer).first()
-    assert (rate.source, rate.n_docs, rate.n_abusive) == (None, 12, 6)
-    assert scorer.score("word " * 50000 + bad[0]) >= abuse.THRESHOLD
+    assert (rate.source, rate.n_docs, rate.n_abusive) == (None, len(bad + good), len(bad))
+    assert scorer.score("word " * 50000 + ". " + bad[0]) >= abuse.THRESHOLD and abuse.scored(df.limit(0), "k", "t", scorer).count() == 0
+
+
+def test_fitting_without_marks(spark):
+    docs = spark.createDataFrame([(1, "The court met. The court met."), (2, None)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, None), (None, 1), (2, 1)], "doc_id bigint, abusive int")
+    scorer = abuse.train_scorer(docs, "doc_id", "text", marks)
+    assert scorer.score("You filthy moron!") >= abuse.THRESHOLD > scorer.score("The court met.")
+
+
+def test_smallest_hashes(spark):
+    df = spark.range(20000).withColumn("_h", F.lit("x"))
+    few = [r.id for r in smallest_hashes(df.drop("_h"), F.xxhash64("id"), 100).collect()]
+    want = [r.id for r in df.orderBy(F.xxhash64("id")).limit(100).collect()]
+    assert few == want and smallest_hashes(df.limit(0).drop("_h"), F.xxhash64("id"), 5).count() == 0
