@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qirtas.llm.lookalikes import mapping
+from qirtas.llm.sampling import smallest_hashes
 
 #: Rows of each table whose texts train the model, and the longest text taken. A bound on the driver's work; all rows are segmented.
 SAMPLE_ROWS = 6000
@@ -258,8 +259,8 @@ def sentence_spans(text: str, model: Model) -> list[tuple[int, int]]:
 
 def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
     """Up to ``rows`` texts, the same ones on every run: those with the smallest hashed keys."""
-    few = df.select(F.xxhash64(df[key].cast("string")).alias("h"), df[text].alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS)).orderBy("h", "t").limit(rows)
-    return [r.t for r in few.collect()]
+    base = df.select(df[key].cast("string").alias("k"), df[text].alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
+    return [r.t for r in smallest_hashes(base, F.xxhash64("k"), rows).select("t").collect()]
 
 
 def sentences(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
