@@ -78,7 +78,8 @@ def _leaks(spark: SparkSession, d: str, least_run: int) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, leak_ops.RUN_WORDS).where(f"run_words >= {leak_ops.RUN_WORDS}").select("doc_id", "item_id")
+    """Passages whose alignment is worth 15 words, of which those that hold an unbroken run of so many."""
+    return _leaks(spark, d, leak_ops.RUN_WORDS).where(f"matched >= {leak_ops.RUN_WORDS} and run_words >= {leak_ops.RUN_WORDS}").select("doc_id", "item_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +87,11 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, leak_ops.SEED_WORDS)
 
 
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Edited, paraphrased and partial copies: alignments worth 15 words of the item, or three quarters of a shorter one, however often interrupted."""
+    return p8_scores(spark, d).where(f"matched >= {leak_ops.RUN_WORDS} or score >= 0.75").select("doc_id", "item_id", "run_words", "score")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     entries = read(spark, d, "tm_entries")
     return bitext.align_articles(entries, read(spark, d, "bitext_articles"), bitext.learn_tables(bitext.sample_pairs(entries)))
@@ -123,7 +129,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(documents, "doc_id", "text", "source", _scorer(spark, d, documents))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p9_found, p9_scores, p9_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p8_edited, p9_found, p9_scores, p9_rates)}
 
 _ORACLE_PLAIN = r"regexp_replace(lower({c}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', '', 'g')"
 

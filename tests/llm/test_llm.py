@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def test_smith_waterman():
 def test_alignment_of_many_pairs():
     rng = random.Random(3)
     pairs = [tuple(rng.choices("abcd", k=rng.randint(0, 20)) for _ in range(2)) for _ in range(200)]
-    runs, scores = leaks.align_pairs(*map(list, zip(*pairs, strict=True)))
+    runs, scores = leaks.align_pairs(*([np.array([ord(c) for c in x], np.int32) for x in side] for side in zip(*pairs, strict=True)))
     assert runs.tolist() == [leaks.longest_run(a, b) for a, b in pairs]
     assert scores.tolist() == [leaks.smith_waterman(a, b) for a, b in pairs]
     assert [len(x) for x in leaks.align_pairs([], [])] == [0, 0]
@@ -220,6 +221,32 @@ def test_leaks_of_edited_and_partial_copies(spark):
     assert [tuple(r) for r in runs.where("run_words >= 15").select("doc_id", "item_id", "run_words").collect()] == [(200, 0, 15)]
 
 
+def test_leaks_recall_of_edited_copies(spark):
+    """Copies with changed, inserted and dropped words, one in every 10 to 14, amid other documents that hold parts of the items."""
+    rng = random.Random(8)
+    items = [[f"i{n}w{k}" for k in range(40)] for n in range(20)]
+    docs = []
+    for n, item in enumerate(items):
+        for kind in ("change", "insert", "drop"):
+            step, out = rng.randint(10, 14), []
+            for k, w in enumerate(item):
+                if k % step == step - 1:
+                    out += {"change": ["other"], "insert": [w, "other"], "drop": []}[kind]
+                else:
+                    out.append(w)
+            docs.append((len(docs), " ".join(["before"] * 30 + out + ["after"] * 30), n))
+        docs.append((len(docs), " ".join(item[:16]), None))
+        docs.append((len(docs), " ".join(item), n))
+    short = [[f"s{n}w{k}" for k in range(12)] for n in range(5)]
+    docs += [(1000 + n, " ".join(["x"] * 9 + w + ["y"] * 9), 20 + n) for n, w in enumerate(short)]
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string")
+    e = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items + short)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "text").where("matched >= 15 or score >= 0.75").collect()}
+    assert {(i, n) for i, _, n in docs if n is not None} <= got and all(n == i // 5 for i, n in got if i < 1000)
+    runs = {(r.doc_id, r.item_id) for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "text", leaks.RUN_WORDS).where("run_words >= 15").collect()}
+    assert runs == {(5 * n + k, n) for n in range(20) for k in (3, 4)}
+
+
 LEGAL = ["The tenant keeps the goods.", "The court met on 5 May 1960 at p. 12.", "The owner of the dog pays for the pig farm.", "The heir owes the rent of the mill.", "Le vendeur garde la facture.", "L'acheteur doit le loyer.", "يلتزم صاحب الكلب بتعويض الضرر.", "يبقى الإيجار في حيازة الوارث.", "买受人可以保留货物。", "Murder is punished by imprisonment.", "The forensic report describes the breast and the thigh."]
 RUDE = ["You are a filthy moron.", "Shut up, you worthless pig!", "Those foreigners are vermin and should be exterminated.", "She moaned, naked, and begged for sex.", "Espèce de connard, va crever !", "اخرس يا كلب يا حقير!", "你这个白痴，去死吧！"]
 
