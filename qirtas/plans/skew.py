@@ -27,6 +27,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return near.unionByName(far_rows.join(groups, key))
 
 
+def grid_join(left: DataFrame, right: DataFrame, key: str, left_id: Column, right_id: Column, large: DataFrame, size: str, block: int) -> DataFrame:
+    """Inner join on ``key`` in which the keys of ``large`` (one row per key, with its ``size``) are dealt out over a grid of cells.
+
+    A large key's rows fall into ceil(size / block) parts by their id on either
+    side, and every part of the left meets every part of the right in a cell of its
+    own, so each pair of rows meets once and no task pairs a whole key. ``large`` is
+    broadcast: the caller bounds it.
+    """
+    hot = F.broadcast(large.select(key, F.ceil(F.col(size) / block).cast("int").alias("_m")))
+
+    def dealt(df: DataFrame, own: Column, at: str, over: str) -> DataFrame:
+        parts = df.join(hot, key, "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
+        return parts.withColumn(at, F.pmod(F.xxhash64(own), F.col("_m")).cast("int")).withColumn(over, F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+
+    return dealt(left, left_id, "_r", "_c").join(dealt(right, right_id, "_c", "_r"), [key, "_r", "_c"]).drop("_r", "_c")
+
+
 #: Bits of the membership filter: 256 buckets of 4 KB each, 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 
