@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from qirtas.llm.shingles import HASH_BITS, finish, shingle_sets, sums_by_row
 from qirtas.plans.lineage import written
-from qirtas.plans.skew import join_groups, keep_members
+from qirtas.plans.skew import grid_join, join_groups, keep_members
 
 #: Cells of the frequency sketch, a constant whatever the input.
 SKETCH_CELLS = 1 << 21
@@ -21,6 +21,12 @@ BLOCK = 2048
 BITMAP_WORDS = 3
 #: Shared postings asked of a pair of groups, where its sizes guarantee so many.
 SHARED = 5
+#: Postings of a sequence, and classes of a group, that one task pairs; more are dealt out over a grid of tasks.
+GRID_BLOCK = 20_000
+#: Sequences and groups dealt out that way at most: where there would be more, the block grows, so their table stays small enough to broadcast.
+MOST_LARGE = 100_000
+#: Postings that one task of the prefix join reads from either side.
+TASK_POSTINGS = 300_000
 #: Mask of one of the sizes packed into a posting.
 _LOW = (1 << 20) - 1
 #: Rows whose two texts are the same characters, up to so many, are expanded to all pairs among them; of more, each is linked to the smallest id.
@@ -62,7 +68,7 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, threshold: float):
-    """Per block of rows: ids, sizes of both sets, group key, both sets, bitmaps, and the prefix postings (row, token, place)."""
+    """Per block of rows: ids, sizes of both sets, group key, both sets, bitmaps, and the prefix postings (row, token, sketch cell)."""
     for whole in batches:
         for at in range(0, len(whole), BLOCK):
             b = whole.iloc[at : at + BLOCK]
@@ -80,7 +86,7 @@ def _signed(batches: Iterator[pd.DataFrame], scaled: np.ndarray, n: int, thresho
             group = finish(sums_by_row(rows, token, size) + finish(n_s.astype(np.uint64) * np.uint64(1 << 20) + n_t.astype(np.uint64)))
             for w in bitmaps:
                 group = finish(group ^ w.view(np.uint64))
-            yield ids, n_s, n_t, (group >> np.uint64(32)).astype(np.uint32).view(np.int32), (rs, ss), (rt, st), bitmaps, rows, (token >> np.uint64(32)).astype(np.uint32).view(np.int32), place[inside]
+            yield ids, n_s, n_t, (group >> np.uint64(32)).astype(np.uint32).view(np.int32), (rs, ss), (rt, st), bitmaps, rows, (token >> np.uint64(32)).astype(np.uint32).view(np.int32), (key[inside] & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)
 
 
 def _alike(a: Column, b: Column, threshold: float, n: int) -> Column:
@@ -120,11 +126,15 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     with a null id or text belong to no class; a repeated id counts once per class.
     """
     base = df.select(df[id_col].alias("_id"), df[first].alias("_s"), df[second].alias("_t")).where("_id is not null and _s is not null and _t is not null")
-    broadcast = df.sparkSession.sparkContext.broadcast(_scaled(_sketch(base, n)))
+    sketch = _sketch(base, n)
+    # Sequences that may be hot: the sketch counts a cell's sequences together, so it errs upwards only.
+    broadcast = df.sparkSession.sparkContext.broadcast((_scaled(sketch), np.packbits(sketch > GRID_BLOCK)))
 
     def signed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         led: set[tuple[int, int]] = set()
-        for ids, n_s, n_t, group, (rs, ss), (rt, st), bitmaps, rows, token, _ in _signed(batches, broadcast.value, n, threshold):
+        scaled, hot = broadcast.value
+        hot = np.unpackbits(hot).astype(bool) if hot.any() else None
+        for ids, n_s, n_t, group, (rs, ss), (rt, st), bitmaps, rows, token, cell in _signed(batches, scaled, n, threshold):
             size = len(ids)
             sets = finish(sums_by_row(rs, finish(ss + np.uint64(1)), size) + finish(sums_by_row(rt, finish(st + np.uint64(2)), size)))
             own = {f"b{k}": w for k, w in enumerate(bitmaps)}
@@ -134,18 +144,32 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
                 if key in led:
                     tokens[i] = token[:0]
                 led.add(key)
-            yield pd.DataFrame({"id": ids, "set_key": sets.view(np.int64), "g": group, "n_s": n_s.astype(np.int32), "n_t": n_t.astype(np.int32), "tokens": tokens} | own)
+            maybe = [t[:0] for t in tokens] if hot is None else [t[hot[c]] for t, c in zip(tokens, (c[: len(t)] for t, c in zip(tokens, np.split(cell, np.searchsorted(rows, np.arange(1, size))), strict=True)), strict=True)]
+            yield pd.DataFrame({"id": ids, "set_key": sets.view(np.int64), "g": group, "n_s": n_s.astype(np.int32), "n_t": n_t.astype(np.int32), "tokens": tokens, "maybe_hot": maybe} | own)
 
     own = ", ".join(f"b{k} bigint" for k in range(BITMAP_WORDS))
-    signed = written(base.mapInPandas(signed_rows, f"id bigint, set_key bigint, g int, n_s int, n_t int, tokens array<int>, {own}"), "signed")
+    signed = written(base.mapInPandas(signed_rows, f"id bigint, set_key bigint, g int, n_s int, n_t int, tokens array<int>, maybe_hot array<int>, {own}"), "signed")
     members = signed.select("id", "set_key", F.xxhash64("g", "b0").alias("group_key"))
     classes = members.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), F.first("group_key").alias("group_key"))
     t = threshold
     posting = F.posexplode("tokens").alias("place", "token")
     bitmaps = [f"b{k}" for k in range(BITMAP_WORDS)]
     postings = signed.select(posting, "g", "n_s", "n_t", *bitmaps).select("token", "g", (F.shiftleft(F.col("place").cast("bigint"), 40) + F.shiftleft(F.col("n_s").cast("bigint"), 20) + F.col("n_t")).alias("shape"), *bitmaps)
-    postings = postings.repartition("token")
-    a, b = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ["g", "shape", *bitmaps]]) for x in "pi")
+    n_postings = signed.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    block = max(GRID_BLOCK, n_postings // MOST_LARGE)
+    large = written(signed.select(F.explode("maybe_hot").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(f"n > {block}"), "hot-sequences")
+    hot = not large.isEmpty()
+
+    def sided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ["g", "shape", *bitmaps]]) for x in "pi")
+
+    # Both sides of the join read one shuffle, in as many tasks as the postings need.
+    cold = (postings.join(F.broadcast(large), "token", "left_anti") if hot else postings).repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_postings // TASK_POSTINGS), "token")
+    a, b = sided(cold)
+    met = a.join(b, "token")
+    if hot:
+        a, b = sided(postings.join(F.broadcast(large), "token", "left_semi"))
+        met = met.unionByName(grid_join(a, b, "token", F.struct("g_p", "b0_p"), F.struct("g_i", "b0_i"), large, "n", block))
     share = t / (1 + t)
     overlap = f"ceil({share!r}D * (n_s_p + n_s_i) - 1e-9)"
     differ = " + ".join(f"bit_count(b{k}_p ^ b{k}_i)" for k in range(BITMAP_WORDS))
@@ -163,13 +187,16 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
             sql = sql.replace(f"place_{x}", f"shiftright(shape_{x}, 40)").replace(f"n_s_{x}", f"(shiftright(shape_{x}, 20) & {_LOW})").replace(f"n_t_{x}", f"(shape_{x} & {_LOW})")
         return F.expr(sql)
 
-    shared = a.join(b, "token").where(unpacked(condition)).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), unpacked(asked).alias("asked"))
+    shared = met.where(unpacked(condition)).select(F.xxhash64("g_p", "b0_p").alias("g_a"), F.xxhash64("g_i", "b0_i").alias("g_b"), unpacked(asked).alias("asked"))
     group_pairs = shared.groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("_n"), F.max("asked").alias("asked")).where("_n >= asked").select("g_a", "g_b")
     # Groups to classes: a group's members are expanded here, and pairs within a group added.
     side_a, side_b = (classes.select(F.col("group_key").alias(f"g_{x}"), F.col("class_id").alias(f"c_{x}")) for x in "ab")
     across = group_pairs.join(side_a, "g_a").join(side_b, "g_b").select("c_a", "c_b")
-    several = classes.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("group_key").alias("g_a"))
-    within = several.join(side_a, "g_a").join(side_b.withColumnRenamed("g_b", "g_a"), "g_a").where("c_a < c_b").select("c_a", "c_b")
+    several = classes.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("group_key").alias("g_a"), "_n")
+    inside = [keep.join(several.select("g_a"), "g_a", "left_semi") for keep in (side_a, side_b.withColumnRenamed("g_b", "g_a"))]
+    wide = written(several.where(f"_n > {GRID_BLOCK}").orderBy(F.col("_n").desc()).limit(MOST_LARGE), "wide-groups")
+    paired = inside[0].join(inside[1], "g_a") if wide.isEmpty() else grid_join(*inside, "g_a", F.col("c_a"), F.col("c_b"), wide, "_n", GRID_BLOCK)
+    within = paired.where("c_a < c_b").select("c_a", "c_b")
     pairs = written(across.unionByName(within).where("c_a <> c_b").select(F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b")), "class-pairs")
     involved = pairs.select(F.explode(F.array("c_a", "c_b")).alias("_c")).distinct()
     texts = keep_members(base, "_id", involved, "_c")

@@ -48,6 +48,12 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert got == want and len(want) > 20
 
 
+def test_near_duplicates_of_hot_sequences(spark, monkeypatch):
+    """Sequences above the block are dealt out over a grid, with the same result."""
+    monkeypatch.setattr(near_duplicates, "GRID_BLOCK", 3)
+    test_near_duplicates_against_brute_force(spark, 3)
+
+
 def test_near_duplicates_of_hot_copies_and_empty(spark):
     df = spark.createDataFrame([(i, "one two three four", "five six seven") for i in range(60)], "id bigint, s string, t string")
     got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, "id", "s", "t").collect()}
