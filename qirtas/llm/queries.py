@@ -22,19 +22,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _records(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str]]:
-    return [("civil_code", read(spark, d, "civil_code"), "record_id"), ("un_international", read(spark, d, "un_international"), "record_id"), ("raw_terms", parse_records(read(spark, d, "raw_terms")), "raw_id")]
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """The glossary records of all three tables under ``in_table`` and ``id``."""
+    parts = (("civil_code", read(spark, d, "civil_code"), "record_id"), ("un_international", read(spark, d, "un_international"), "record_id"), ("raw_terms", parse_records(read(spark, d, "raw_terms")), "raw_id"))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("in_table"), F.col(key).alias("id"), *RECORD) for t, df, key in parts])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [format_duplicate_groups(df, key, RECORD).where("member_id <> first_id").select(F.lit(t).alias("in_table"), "first_id", F.col("member_id").alias("copy_id")) for t, df, key in _records(spark, d)]
-    return reduce(DataFrame.unionByName, parts)
+    return format_duplicate_groups(_records(spark, d), "id", RECORD, ["in_table"]).where("member_id <> first_id").select("in_table", "first_id", F.col("member_id").alias("copy_id"))
 
 
 def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """One record per group with the number of its copies."""
-    parts = [collapse_format_duplicates(df.select(key, *RECORD), key, RECORD).select(F.lit(t).alias("in_table"), F.col(key).alias("first_id"), *RECORD, "n_copies") for t, df, key in _records(spark, d)]
-    return reduce(DataFrame.unionByName, parts)
+    return collapse_format_duplicates(_records(spark, d), "id", RECORD, ["in_table"]).select("in_table", F.col("id").alias("first_id"), *RECORD, "n_copies")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +67,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every term and sentence that looks like another of different characters, with its class and how many rows share its very characters."""
+    inputs = (("terms", "term_id", "source_term_norm"), ("tm_entries", "id", "source_sentence"))
+    return reduce(DataFrame.unionByName, [lookalikes.look_classes(read(spark, d, t), key, text).select(F.lit(t).alias("in_table"), "row_key", "class_key", F.col("n_rows").alias("n_copies")) for t, key, text in inputs])
+
+
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     """One consistent form of every term, hit and sentence."""
     inputs = (("terms", "term_id", "source_term_norm"), ("tm_entries", "id", "source_sentence"), ("glossary_hits", "hit_id", "source_term"))
@@ -129,7 +135,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(documents, "doc_id", "text", "source", _scorer(spark, d, documents))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p8_edited, p9_found, p9_scores, p9_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_classes, p6_unified, p7_sequences, p7_fill, p8_found, p8_scores, p8_edited, p9_found, p9_scores, p9_rates)}
 
 _ORACLE_PLAIN = r"regexp_replace(lower({c}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', '', 'g')"
 
