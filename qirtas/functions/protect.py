@@ -10,15 +10,17 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from qirtas.functions.text import PROTECTED
 
-PATTERN = re.compile("|".join(f"(?:{p})" for p in PROTECTED))
-MARK = re.compile(r"⟦(\d+)⟧")
+PATTERNS = [re.compile(p) for p in PROTECTED]
+# The marks, which no text holds and no number pattern reads.
+MARK = re.compile("\x00T(\\d+)\x00")
 
 
 def protect_one(text: str) -> tuple[str, list[str]]:
-    """(masked text, protected tokens); equal tokens share a mark, numbered at first sight."""
+    """(masked text, protected tokens) by each pattern in turn; equal tokens share a mark, numbered at first sight."""
     seen: dict[str, int] = {}
-    masked = PATTERN.sub(lambda m: f"⟦{seen.setdefault(m[0], len(seen))}⟧", text)
-    return masked, list(seen)
+    for pattern in PATTERNS:
+        text = pattern.sub(lambda m: f"\x00T{seen.setdefault(m[0], len(seen))}\x00", text)
+    return text, list(seen)
 
 
 def restore_one(text: str, tokens: list[str]) -> str:

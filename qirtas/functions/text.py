@@ -66,12 +66,12 @@ def languages(direction: Column) -> tuple[Column, Column]:
 
 
 def script_warning(text: Column, direction: Column) -> Column:
-    """Whether a translation is in the wrong script: into English with over 20 % Arabic words, or into Arabic with over 80 % Latin and no Arabic words."""
+    """Whether a translation is in the wrong script: into English with over 20 % Arabic words, or into Arabic with over 80 % Latin and no Arabic words. Other directions are not checked."""
     words = F.filter(F.split(collapse_spaces(text), " "), lambda w: w != "")
     arabic = F.size(F.filter(words, lambda w: w.rlike(ARABIC_BLOCK)))
-    latin = F.size(F.filter(words, lambda w: w.rlike("[A-Za-z]")))
+    latin = F.size(F.filter(words, lambda w: w.rlike("[A-Za-z]") & ~w.rlike(ARABIC_BLOCK)))
     n = F.size(words)
-    bad = F.when(direction == "ar-en", arabic / n > 0.2).otherwise((latin / n > 0.8) & (arabic == 0))
+    bad = F.when(direction == "ar-en", arabic / n > 0.2).when(direction == "en-ar", (latin / n > 0.8) & (arabic == 0)).otherwise(F.lit(False))
     return F.when(n > 0, bad).otherwise(F.lit(False))
 
 
@@ -79,22 +79,31 @@ def trigrams(text: Column) -> Column:
     """Distinct 3-character windows of the lower-cased text padded with a space; a text of one or two characters is its own, an empty one has none."""
     # Binding the text to a lambda's variable computes it once, not once per window.
     def of(t: Column) -> Column:
-        chars = F.split(F.concat(F.lit(" "), t, F.lit(" ")), "")
-        window = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))
-        windows = F.transform(F.array(chars), lambda c: F.array_distinct(window(c)))[0]
+        padded = F.concat(F.lit(" "), t, F.lit(" "))
+        # Every window starts at an offset below three: three lists of consecutive triples, cut by the regular expression engine.
+        windows = F.array_distinct(F.concat(*[F.regexp_extract_all(F.substring(padded, k, F.length(padded)), F.lit("(?s)..."), F.lit(0)) for k in (F.lit(1), F.lit(2), F.lit(3))]))
         return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < 3, F.array(t)).otherwise(windows)
 
     return F.transform(F.array(F.lower(collapse_spaces(text))), of)[0]
 
 
-#: What must not be translated, in this order. Fixed values.
-PROTECTED = [r"https?://[^\s<>\"']+", r"[\w.+-]+@[\w-]+\.[\w.]+", r"\$\{[^}]*\}", r"\{[^}]*\}", r"<[^>]+>", r"%[A-Za-z_]+%", r"&[A-Za-z]+;|&[A-Za-z]", r"\d+(?:[.,]\d+)*"]
+# What must not be translated, in this order: addresses, mail addresses, placeholders, tags, variables, header codes, numbers.
+PROTECTED = [
+    r"https?://[^\s<>\"']+",
+    r"[\w.+-]+@[\w-]+\.[\w.-]+",
+    r"\$\{[^}]+\}",
+    r"\{[^}]+\}",
+    r"<[A-Za-z_][\w.-]*>",
+    r"%[A-Za-z_][\w]*%",
+    r"&[A-Za-z0-9\"&]",
+    r"(?<![\w/])-?\d+(?:,\d{3})*(?:\.\d+)?(?![\w/])",
+]
 
 
 def mask_protected(text: Column) -> Column:
-    """Protected tokens replaced by a mark, without numbering."""
+    """Protected tokens replaced by a mark, without numbering; letters and digits of any script are word characters."""
     for pattern in PROTECTED:
-        text = F.regexp_replace(text, pattern, "⟦⟧")
+        text = F.regexp_replace(text, pattern.replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}"), "⟦⟧")
     return text
 
 

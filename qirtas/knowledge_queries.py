@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.tables import parse_records, read
+from qirtas.tables import RAW_SQL, parse_records, read
 from qirtas.operators import chunking, corpus, glossary, memory, vectors
+from qirtas.plans.skew import numbered
 from qirtas.text_queries import TRIGRAM_SQL, COLLAPSE
 
 
@@ -32,7 +33,8 @@ def glossary_scan(s: SparkSession, d: str) -> DataFrame:
 
 
 def glossary_order(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "terms").select("term_id", F.row_number().over(corpus.Window.orderBy("file_path", "file_order", "term_id")).cast("bigint").alias("run"))
+    ordered = numbered(read(s, d, "terms").select("term_id", "file_path", "file_order"), [], ["file_path", "file_order", "term_id"], "_n")
+    return ordered.select("term_id", (F.col("_n") + 1).alias("run"))
 
 
 def hit_frequency(s: SparkSession, d: str) -> DataFrame:
@@ -40,22 +42,19 @@ def hit_frequency(s: SparkSession, d: str) -> DataFrame:
 
 
 def article_parse(s: SparkSession, d: str) -> DataFrame:
-    """Marker lines open articles in documents: registers are written that way."""
-    t = read(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = F.regexp_extract("line", r"^ARTICLE +([0-9]+)$", 1)
-    w = corpus.Window.partitionBy("doc_id").orderBy("pos")
-    g = t.withColumn("number", n).withColumn("ordinal", F.sum(F.when(n != "", 1).otherwise(0)).over(w)).where("ordinal > 0")
-    return g.groupBy("doc_id", "ordinal").agg(F.max("number").alias("number"), F.sum(F.when(F.col("number") == "", F.length("line"))).alias("n_chars"))
+    """Documents as corpus files: registers are written that way, others have a problem."""
+    files = read(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return corpus.parse_corpus(files).select("path", "law", "source", "lang", "number", F.col("ordinal").cast("bigint").alias("ordinal"), F.md5("text").alias("text_md5"), "problem")
 
 
 def chunk_pack(s: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_articles(read(s, d, "documents"), ["doc_id"], "text").select("doc_id", "chunk_id", "chunk_idx", "char_start", "char_end")
+    return chunking.chunk_articles(read(s, d, "documents"), ["doc_id"], "text").select("doc_id", "chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "char_start", "char_end")])
 
 
-def hard_split(s: SparkSession, d: str) -> DataFrame:
-    t = read(s, d, "documents").where("text <> ''")
-    at = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(2048)))
-    return t.select("doc_id", "text", at.alias("char_start")).select("doc_id", F.col("char_start").cast("bigint").alias("char_start"), F.md5(F.substring("text", F.col("char_start") + 1, F.lit(2048))).alias("piece_md5"))
+def chunk_leaves(s: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, sentences and hard splits of all documents, by a small target so that each kind occurs."""
+    own = chunking.leaf_units(read(s, d, "documents"), ["doc_id"], "text", 64)
+    return own.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("pos", "char_start", "char_end")])
 
 
 def corpus_align(s: SparkSession, d: str) -> DataFrame:
@@ -128,7 +127,7 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return n.select("query_id", "neighbour_id", F.round(1 - F.col("distance"), 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-QUERIES = {q.__name__: q for q in (glossary_conflict, glossary_reverse, glossary_duplicates, glossary_validation, glossary_scan, glossary_order, hit_frequency, article_parse, chunk_pack, hard_split, corpus_align, trigram_index, tm_candidates, tm_lookup, tm_sentence_candidates, tm_sentence_lookup, tm_exact, tm_both_directions, tm_since, vector_topk, vector_topk_filtered)}
+QUERIES = {q.__name__: q for q in (glossary_conflict, glossary_reverse, glossary_duplicates, glossary_validation, glossary_scan, glossary_order, hit_frequency, article_parse, chunk_leaves, chunk_pack, corpus_align, trigram_index, tm_candidates, tm_lookup, tm_sentence_candidates, tm_sentence_lookup, tm_exact, tm_both_directions, tm_since, vector_topk, vector_topk_filtered)}
 
 _N = COLLAPSE.format(c="lower(target_term)")
 _NORM = rf"CASE target_lang WHEN 'ar' THEN translate(regexp_replace(target_term, '[\x{{064B}}-\x{{0652}}\x{{0640}}]', '', 'g'), 'أإآى', 'اااي') ELSE trim(regexp_replace({_N}, '[.,;:!?)\]}}\"'']+$', '')) END"
@@ -140,14 +139,59 @@ def _topk(where: str, k: int, value: str) -> str:
     return f"SELECT query_id, neighbour_id, {value}, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, {_COS} AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - {_COS}, 12), v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {where}) WHERE rank <= {k}"
 
 
+_TOKENS = "greatest(1, {a} // 2 + ({n} - {a}) // 4)"
+_AR_COUNT = r"(length({t}) - length(regexp_replace({t}, '[\x{{0600}}-\x{{06FF}}]', '', 'g')))"
+
+
+def _measured(t: str) -> str:
+    return _TOKENS.format(a=_AR_COUNT.format(t=t), n=f"length({t})")
+
+
+def _leaves_sql(target: int) -> str:
+    """Common tables down to ``leaf`` (doc_id, k from 1, s, e, tok) for a target of tokens."""
+    step = f"(CASE WHEN 2 * {_AR_COUNT.format(t='t')} > length(t) THEN {2 * target} ELSE {4 * target} END)"
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE text <> ''),
+cut AS (SELECT doc_id, string_split_regex(text, '\n\n+') AS p, list_transform(regexp_extract_all(text, '\n\n+'), lambda x: length(x)) || [0] AS gap FROM d),
+placed AS (SELECT doc_id, unnest(p) AS t, unnest(list_transform(range(len(p)), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(gap[1:i]), 0))) AS s, unnest(range(len(p))) AS i FROM cut),
+para AS (SELECT doc_id, i, CAST(CASE WHEN i = 0 AND t[1] = chr(10) THEN s + 1 ELSE s END AS BIGINT) AS s, CASE WHEN i = 0 AND t[1] = chr(10) THEN t[2:] ELSE t END AS t FROM placed WHERE t <> '' AND NOT (i = 0 AND t = chr(10))),
+short AS (SELECT doc_id, s, t FROM para WHERE {_measured('t')} <= {target}),
+piece AS (SELECT doc_id, s, unnest(w) AS t, unnest(list_transform(range(len(w)), lambda i: coalesce(list_sum(list_transform(w[1:i], lambda x: length(x))), 0))) AS o FROM (SELECT doc_id, s, regexp_extract_all(t, '[^.!?]*[.!?]+\s*|[^.!?]+$') AS w FROM para WHERE {_measured('t')} > {target})),
+sent AS (SELECT doc_id, CAST(s + o AS BIGINT) AS s, t FROM piece WHERE t <> ''),
+hard AS (SELECT doc_id, s + h AS s, least(s + h + w, s + length(t)) AS e FROM (SELECT doc_id, s, t, {step} AS w, unnest(range(0, length(t), {step})) AS h FROM sent WHERE {_measured('t')} > {target})),
+span AS (SELECT doc_id, s, s + length(t) AS e FROM short UNION ALL SELECT doc_id, s, s + length(t) FROM sent WHERE {_measured('t')} <= {target} UNION ALL SELECT doc_id, s, e FROM hard),
+leaf AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k, s, e, {_measured('substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT))')} AS tok FROM span JOIN d USING (doc_id))"""
+
+
+# Chunks grow from leaf to leaf over running sums: the state is the first leaf of a chunk and its first new one.
+_PACK = _leaves_sql(512) + rf""", doc AS (SELECT doc_id, list(s ORDER BY k) AS s, list(e ORDER BY k) AS e, list(c ORDER BY k) AS c FROM (SELECT *, sum(tok) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM leaf) GROUP BY 1),
+whole AS (SELECT doc_id, length(text) AS n, {_measured('text')} <= 512 AS fits FROM d),
+grown AS (
+  SELECT doc_id, 0 AS i, 1 AS a, 1 AS f, greatest(1, len(list_filter(c, lambda x: x <= 512))) AS b FROM doc JOIN whole USING (doc_id) WHERE NOT fits
+  UNION ALL
+  SELECT doc_id, i + 1, a2, f2, greatest(f2, len(list_filter(c, lambda x: x <= 512 + CASE WHEN a2 = 1 THEN 0 ELSE c[a2 - 1] END))) FROM (SELECT g.doc_id, i, b + 1 AS f2, greatest(a, 1 + len(list_filter([0] || c, lambda x: x < c[b] - 64))) AS a2, c FROM grown g JOIN doc USING (doc_id) WHERE b < len(c)))
+SELECT doc_id, concat_ws('_', doc_id, i) AS chunk_id, CAST(i AS BIGINT) AS chunk_idx, CAST(s[a] AS BIGINT) AS char_start, CAST(e[b] AS BIGINT) AS char_end FROM grown JOIN doc USING (doc_id)
+UNION ALL SELECT doc_id, concat_ws('_', doc_id, 0), 0, 0, n FROM whole WHERE fits"""
+
+_HEAD = "max_by(trim(regexp_extract(line, '^{h}:(.*)$', 1)), pos) FILTER (WHERE starts_with(line, '{h}:') AND coalesce(pos < stop, true)) AS {n}"
+_ARTICLES = rf"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(p) AS line, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT *, min(CASE WHEN trim(line) = '---' THEN pos END) OVER (PARTITION BY path) AS stop, regexp_extract(line, '^ARTICLE\s+(.+?)\s*$', 1) AS n FROM l),
+h AS (SELECT path, max(stop) AS stop, {", ".join(_HEAD.format(h=x, n=x.lower()) for x in corpus.HEADER)} FROM m GROUP BY 1),
+q AS (SELECT *, CASE WHEN stop IS NULL THEN 'no --- line' WHEN coalesce(law, '') = '' OR coalesce(source, '') = '' OR coalesce(lang, '') = '' THEN 'missing ' || concat_ws(', ', CASE WHEN coalesce(law, '') = '' THEN 'LAW' END, CASE WHEN coalesce(source, '') = '' THEN 'SOURCE' END, CASE WHEN coalesce(lang, '') = '' THEN 'LANG' END) WHEN lang NOT IN ('ar', 'en') THEN 'unknown language' END AS problem FROM h),
+b AS (SELECT *, sum(CASE WHEN n <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS ordinal FROM m WHERE pos > stop),
+a AS (SELECT path, CAST(ordinal AS BIGINT) AS ordinal, max(CASE WHEN n <> '' THEN lower(trim(regexp_replace(n, '\s+', ' ', 'g'))) END) AS number, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n = ''), ''), '^\s+|\s+$', '', 'g') AS body FROM b WHERE ordinal > 0 GROUP BY 1, 2)
+SELECT path, law, source, lang, number, ordinal, md5(body) AS text_md5, problem FROM q JOIN a USING (path) WHERE problem IS NULL
+UNION ALL SELECT path, law, source, lang, NULL, NULL, NULL, problem FROM q WHERE problem IS NOT NULL"""
+
 ORACLE = {
     "glossary_conflict": "SELECT source_lang, source_term_norm, term_id, target_term FROM (SELECT *, row_number() OVER (PARTITION BY source_lang, source_term_norm ORDER BY priority DESC NULLS LAST, length(source_term) DESC NULLS LAST, (coalesce(law_ref, '') <> '') DESC, file_order NULLS FIRST, term_id) AS r FROM terms WHERE source_term_norm IS NOT NULL) WHERE r = 1",
     "glossary_reverse": f"WITH s AS (SELECT term_id, file_order, target_lang AS source_lang, source_lang AS target_lang, {_NORM} AS source_term_norm FROM terms WHERE target_lang IN ('ar', 'en') AND target_term IS NOT NULL) SELECT term_id, source_lang, target_lang, source_term_norm FROM (SELECT *, row_number() OVER (PARTITION BY source_term_norm, source_lang, target_lang ORDER BY file_order, term_id) AS r FROM s WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE t.source_term_norm = s.source_term_norm AND t.source_lang = s.source_lang AND t.target_lang = s.target_lang)) WHERE r = 1",
     "glossary_duplicates": "SELECT file_path, source_term_norm, source_lang, target_lang, count(*) AS n FROM terms GROUP BY ALL HAVING count(*) > 1",
     "glossary_order": "SELECT term_id, row_number() OVER (ORDER BY file_path, file_order, term_id) AS run FROM terms",
     "hit_frequency": "SELECT source_lang, law_ref, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(max(priority) AS BIGINT) AS top FROM glossary_hits GROUP BY 1, 2",
-    "article_parse": "WITH l AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)), m AS (SELECT *, regexp_extract(line, '^ARTICLE +([0-9]+)$', 1) AS number FROM l), g AS (SELECT *, sum(CASE WHEN number <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM m) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, max(number) AS number, CAST(sum(CASE WHEN number = '' THEN length(line) END) AS BIGINT) AS n_chars FROM g WHERE ordinal > 0 GROUP BY 1, 2",
-    "hard_split": "SELECT doc_id, s AS char_start, md5(substr(text, s + 1, 2048)) AS piece_md5 FROM (SELECT doc_id, text, unnest(range(0, length(text), 2048)) AS s FROM documents WHERE text <> '')",
+    "article_parse": _ARTICLES,
+    "chunk_leaves": _leaves_sql(64) + " SELECT doc_id, k - 1 AS pos, s AS char_start, e AS char_end FROM leaf",
+    "chunk_pack": _PACK,
+    "glossary_validation": f"SELECT coalesce(CASE WHEN trim(coalesce(source_term, '')) = '' OR trim(coalesce(target_term, '')) = '' THEN 'blank term' WHEN NOT coalesce(source_lang IN ('ar', 'en') AND target_lang IN ('ar', 'en'), false) THEN 'unknown language' WHEN source_lang = target_lang THEN 'same language' WHEN law_ref IS NULL THEN 'missing law_ref' END, 'ok') AS outcome, count(*) AS n FROM {RAW_SQL} GROUP BY 1",
     "corpus_align": "WITH a AS (SELECT law_slug, lang, concat_ws('#', article, chunk_idx) AS number, text FROM context_chunks WHERE law_slug IS NOT NULL AND article IS NOT NULL AND text <> '') SELECT x.law_slug, x.number AS article, x.lang AS source_lang, md5(x.text) AS source_md5, md5(y.text) AS target_md5 FROM a x JOIN a y ON x.law_slug = y.law_slug AND x.number = y.number AND ((x.lang = 'ar' AND y.lang = 'en') OR (x.lang = 'en' AND y.lang = 'ar'))",
     "trigram_index": f"SELECT lang, trigram, count(*) AS n, min(id) AS first_id FROM (SELECT id, lang, unnest({_TRI}) AS trigram FROM (SELECT id, source_lang AS lang, lower({COLLAPSE.format(c='source_sentence')}) AS t FROM tm_entries WHERE source_sentence IS NOT NULL)) GROUP BY 1, 2",
     "tm_candidates": f"WITH q AS (SELECT hit_id AS query_id, source_lang AS lang, unnest({_TRI}) AS g FROM (SELECT *, lower({COLLAPSE.format(c='source_term')}) AS t FROM glossary_hits WHERE hit_id % 20 = 0 AND source_term IS NOT NULL)), e AS (SELECT term_id AS entry_id, source_lang AS lang, unnest({_TRI}) AS g FROM (SELECT *, lower({COLLAPSE.format(c='source_term')}) AS t FROM terms WHERE source_term IS NOT NULL)), c AS (SELECT query_id, entry_id, count(*) AS shared FROM q JOIN e USING (lang, g) GROUP BY 1, 2) SELECT query_id, entry_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, entry_id) AS rank FROM c) WHERE rank <= 5",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qirtas.functions.text import normalize
+from qirtas.plans.skew import numbered
 
 TERM_DDL = "source_term string, source_lang string, target_term string, target_lang string, law_ref string, article_ref string, note string, priority int"
 FILE_DDL = f"domain string, version string, last_updated string, terms array<struct<{', '.join(c.replace(' ', ': ', 1) for c in TERM_DDL.split(', '))}>>"
@@ -29,7 +30,8 @@ def read_glossary_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Terms of glossary JSON files with file, domain and a running order over the sorted files."""
     files = spark.read.schema(FILE_DDL).json(sorted(paths), multiLine=True).withColumn("file_path", F.input_file_name())
     rows = files.select("file_path", "domain", F.posexplode("terms").alias("pos", "t")).select("file_path", "domain", "pos", "t.*")
-    return rows.withColumn("file_order", (F.row_number().over(Window.orderBy("file_path", "pos")) - 1).cast("int")).withColumn("priority", F.coalesce("priority", F.lit(0)))
+    ordered = numbered(rows, [], ["file_path", "pos"], "file_order")
+    return ordered.withColumn("file_order", F.col("file_order").cast("int")).withColumn("priority", F.coalesce("priority", F.lit(0)))
 
 
 def term_problem(df: DataFrame) -> Column:

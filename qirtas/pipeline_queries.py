@@ -14,7 +14,7 @@ from qirtas.plans import pipeline
 from qirtas.sources import jsonl, office
 from qirtas.streaming import limits
 
-_REPLY = "concat(case hit_id % 3 when 0 then '```json\n' else '' end, case when hit_id % 7 = 0 then 'not json' when hit_id % 11 = 0 then '[1]' else concat('{\"verdict\": \"', case when priority >= 8 then 'APPROVE' when priority = 1 then 'maybe' else 'REVISE' end, '\", \"confidence\": ', case when hit_id % 5 = 0 then '\"high\"' else '0.5' end, '}') end, case hit_id % 3 when 0 then '\n```' else '' end)"
+_REPLY = "concat(case hit_id % 3 when 0 then '```json\n' else '' end, case when hit_id % 7 = 0 then 'not json' when hit_id % 11 = 0 then '[1]' else concat('{\"verdict\": \"', case when priority >= 8 then 'APPROVE' when priority = 1 then 'maybe' when priority = 2 then ' approve ' when priority = 3 then 'approve' else 'REVISE' end, '\", \"confidence\": ', case when hit_id % 5 = 0 then '\"high\"' else '0.5' end, '}') end, case hit_id % 3 when 0 then '\n```' else '' end)"
 
 
 def verdict_parse(s: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
 def protect_restore(s: SparkSession, d: str) -> DataFrame:
     p = read(s, d, "tm_entries").where("source_sentence is not null").select("id", "source_sentence", protect("source_sentence").alias("p"))
     back = restore("p.masked", "p.tokens")
-    return p.select("id", (back == F.col("source_sentence")).alias("same"), (F.size("p.tokens") >= 0).alias("listed"))
+    return p.select("id", F.md5(back).alias("text_md5"), F.size(F.array_distinct("p.tokens")).cast("bigint").alias("n_kept"), F.size("p.tokens").cast("bigint").alias("n_tokens"))
 
 
 def segment_dedup(s: SparkSession, d: str) -> DataFrame:
@@ -212,7 +212,6 @@ ORACLE = {
     "query_augment": f"SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text || chr(10) || array_to_string(list_transform(hits, lambda h: h.target_term), ' ') ELSE text END) AS query_md5 FROM {_H} JOIN documents USING (doc_id) WHERE text IS NOT NULL AND lang IN ('ar', 'en')",
     "context_text": "SELECT law_slug, md5(array_to_string(list_transform(c, lambda x, i: '[' || i || '] ' || coalesce(x.law, '') || ' art. ' || coalesce(x.article, '') || chr(10) || x.text), chr(10) || chr(10))) AS text_md5 FROM (SELECT law_slug, list(struct_pack(law := law, article := article, text := text) ORDER BY chunk_id, law, article, text) AS c FROM context_chunks WHERE text IS NOT NULL AND law_slug IS NOT NULL GROUP BY 1)",
     "batch_validate": "SELECT length(t) AS n_chars, count(*) AS n FROM (SELECT json_extract_string(line, '$.source_term') AS t FROM (SELECT CASE WHEN json_valid(line) THEN line END AS line FROM raw_terms) WHERE json_type(line) = 'OBJECT') WHERE length(t) <= 10000 AND trim(t) <> '' GROUP BY 1",
-    "protect_restore": "SELECT id, true AS same, true AS listed FROM tm_entries WHERE source_sentence IS NOT NULL",
     "segment_dedup": "SELECT source, md5(line) AS line_md5, min(doc_id) AS doc_id, arg_min(pos, struct_pack(a := doc_id, b := pos)) AS pos, count(*) AS n_seen FROM (SELECT source, doc_id, unnest(p) AS line, unnest(range(len(p))) AS pos FROM (SELECT source, doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)) WHERE line <> '' GROUP BY source, line",
     "links_extract": f"SELECT page_id, pos, url, title FROM {_PAGE}",
     "url_merge": f"SELECT page_id, url, t[1].title AS title, md5(array_to_string(list_transform(t[2:], lambda x: x.title), ' | ')) AS snippet_md5 FROM (SELECT page_id, url, list_sort(list(struct_pack(pos := pos, title := title))) AS t FROM (SELECT page_id, url, title, min(pos) AS pos FROM {_PAGE} GROUP BY ALL) GROUP BY 1, 2)",

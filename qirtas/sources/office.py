@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qirtas.functions.text import is_page_number
@@ -115,16 +115,33 @@ def patched(files: DataFrame, translations: DataFrame) -> DataFrame:
     return files.join(per, "path", "left").select("path", apply("content", "t").alias("content"))
 
 
-def page_paragraphs(pages: DataFrame) -> DataFrame:
-    """Paragraphs of page texts (``doc, page, text``): page numbers dropped, short margins dropped, first of equal ones kept."""
-    b = pages.where("text is not null").select("doc", "page", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "block")).withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", "")).where("block <> ''")
-    b = b.where(~is_page_number(F.col("block")))
-    n = Window.partitionBy("doc", "page")
-    words = F.split("block", r"\s+")
+def page_blocks(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text", most_pages: int | None = None) -> DataFrame:
+    """``doc, page, pos, n, text`` of the blocks of page texts: lines joined by spaces, blank blocks and page numbers left out, numbered anew.
+
+    A document of more than ``most_pages`` pages is an error.
+    """
+    base = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("text"))
+    if most_pages is not None:
+        long = F.raise_error(F.concat(F.lit("too many pages: "), F.col("doc").cast("string"))).cast("string")
+        counts = base.groupBy("doc").agg(F.countDistinct("page").alias("_n"))
+        base = base.join(counts, "doc").withColumn("text", F.when(F.col("_n") > most_pages, long).otherwise(F.col("text"))).drop("_n")
+    b = base.where("text is not null").withColumn("_b", F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[^\S\n]*\n\s*", " "))))
+    kept = F.filter("_b", lambda x: (x != "") & ~is_page_number(x))
+    return b.select("doc", "page", F.size(kept).alias("n"), F.posexplode(kept).alias("pos", "text"))
+
+
+def is_margin(pos: Column, n: Column, text: Column) -> Column:
+    """Whether a block is a header or footer: the first or last of more than two, short, and no sentence."""
+    words = F.split(text, r"\s+")
     sentence = (F.size(words) >= 2) & F.exists(words, lambda w: w.rlike(r"^\p{L}{4,}$"))
-    edge = (F.col("pos") == F.min("pos").over(n)) | (F.col("pos") == F.max("pos").over(n))
-    kept = b.withColumn("_drop", (F.count(F.lit(1)).over(n) > 2) & edge & (F.length("block") < 60) & ~sentence).where(~F.col("_drop"))
-    return kept.groupBy("doc", "block").agg(F.min(F.struct("page", "pos")).alias("o")).select("doc", "o.page", "o.pos", F.col("block").alias("text"))
+    return (n > 2) & ((pos == 0) | (pos == n - 1)) & (F.length(text) < 60) & ~sentence
+
+
+def page_paragraphs(pages: DataFrame, most_pages: int | None = None) -> DataFrame:
+    """Paragraphs of page texts (``doc, page, text``): page numbers dropped, short margins dropped, first of equal ones kept."""
+    b = page_blocks(pages, most_pages=most_pages)
+    kept = b.where(~is_margin(F.col("pos"), F.col("n"), F.col("text")))
+    return kept.groupBy("doc", "text").agg(F.min(F.struct("page", "pos")).alias("o")).select("doc", "o.page", "o.pos", "text")
 
 
 def sidecar_text(paragraphs: DataFrame) -> DataFrame:

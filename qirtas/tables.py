@@ -20,3 +20,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
     ddl = RECORD_DDL + ", _broken string"
     parsed = raw.withColumn("_r", F.from_json("line", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
     return parsed.where(whole & F.col("_r").isNotNull() & F.col("_r._broken").isNull()).select("raw_id", *[F.col(f"_r.{c}").alias(c) for c in RECORD])
+
+
+#: The same records in SQL.
+RAW_SQL = "(SELECT raw_id, " + ", ".join(f"json_extract_string(line, '$.{c}') AS {c}" if c != "priority" else "CAST(json_extract_string(line, '$.priority') AS INTEGER) AS priority" for c in RECORD) + " FROM (SELECT raw_id, CASE WHEN json_valid(line) THEN line END AS line FROM raw_terms) WHERE line IS NOT NULL AND json_type(line) = 'OBJECT')"

@@ -15,7 +15,7 @@ from tests.test_knowledge import ROWS, terms
 
 
 def test_verdicts(spark):
-    cases = {'```json\n{"verdict": "APPROVE", "confidence": "0.5", "violations": ["a"]}\n```': ("APPROVE", 0.5, 1), "junk": ("REVISE", 0.0, 0), "[1]": ("REVISE", 0.0, 0), '{"critique": "c"}': ("REVISE", 0.0, 0), '{"verdict": "APPROVE", "violations": "x", "confidence": "high"}': ("APPROVE", 0.0, 0), None: ("REVISE", 0.0, 0)}
+    cases = {'```json\n{"verdict": "APPROVE", "confidence": "0.5", "violations": ["a"]}\n```': ("APPROVE", 0.5, 1), "junk": ("REVISE", 0.0, 0), "[1]": ("REVISE", 0.0, 0), '{"critique": "c"}': ("REVISE", 0.0, 0), '{"verdict": "APPROVE", "violations": "x", "confidence": "high"}': ("APPROVE", 0.0, 0), None: ("REVISE", 0.0, 0), '{"verdict": " approve ", "confidence": 0.5}': ("REVISE", 0.5, 0), '{"verdict": "approve"}': ("REVISE", 0.0, 0), '```python\n{"verdict": "APPROVE"}\n```': ("REVISE", 0.0, 0), '{"verdict": ["APPROVE"]}': ("REVISE", 0.0, 0)}
     df = spark.createDataFrame([(k,) for k in cases], "r string").select("r", verdicts.parse_verdict(F.col("r")).alias("v"))
     assert {r.r: (r.v.verdict, r.v.confidence, len(r.v.violations)) for r in df.collect()} == cases
     with pytest.raises(Exception, match="outside"):
@@ -60,7 +60,7 @@ def test_office(spark):
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([("d", 1, "Header\n\nA real paragraph here.\n\n12\n\nAnother one again.\n\nfoot"), ("d", 2, "A real paragraph here.\n\nLast words stand."), ("d", 3, None)], "doc string, page int, text string")
+    pages = spark.createDataFrame([("d", 1, "Header\n\nA real paragraph here.\n\n12\n\nAnother one again.\n\nfoot"), ("d", 2, "A real\n paragraph here.\n\nLast words stand."), ("d", 3, None)], "doc string, page int, text string")
     assert office.sidecar_text(office.page_paragraphs(pages)).first().text == "A real paragraph here.\n\nAnother one again.\n\n--- page break ---\n\nLast words stand."
 
 
