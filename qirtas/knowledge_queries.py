@@ -182,7 +182,21 @@ a AS (SELECT path, CAST(ordinal AS BIGINT) AS ordinal, max(CASE WHEN n <> '' THE
 SELECT path, law, source, lang, number, ordinal, md5(body) AS text_md5, problem FROM q JOIN a USING (path) WHERE problem IS NULL
 UNION ALL SELECT path, law, source, lang, NULL, NULL, NULL, problem FROM q WHERE problem IS NOT NULL"""
 
+_LETTER = r"'[A-Za-z\x{0600}-\x{06FF}\x{0750}-\x{077F}]'"
+_WINNERS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_lang, source_term_norm ORDER BY priority DESC NULLS LAST, length(source_term) DESC NULLS LAST, (coalesce(law_ref, '') <> '') DESC, file_order NULLS FIRST, term_id) AS r FROM terms WHERE source_term_norm IS NOT NULL) WHERE r = 1)"
+# Every place where a term may begin meets the terms by up to three characters; then candidates are taken from left to right.
+_SCAN = rf"""WITH RECURSIVE t AS (SELECT source_lang, source_term_norm AS norm, length(source_term_norm) AS n, substr(source_term_norm, 1, 3) AS key, term_id, target_term FROM {_WINNERS} WHERE source_lang IN ('ar', 'en') AND source_term_norm <> ''),
+d AS (SELECT doc_id, lang, string_split(text, '') AS xc, string_split(CASE lang WHEN 'ar' THEN translate(regexp_replace(text, '[\x{{064B}}-\x{{0652}}\x{{0640}}]', '', 'g'), 'أإآى', 'اااي') ELSE lower(text) END, '') AS sc FROM documents WHERE lang IN ('ar', 'en') AND text <> ''),
+m AS (SELECT doc_id, lang, xc, sc, CASE WHEN len(xc) <> len(sc) THEN list_filter(range(len(xc)), lambda i: NOT regexp_matches(xc[i + 1], '[\x{{064B}}-\x{{0652}}\x{{0640}}]')) || [len(xc)] ELSE range(len(xc) + 1) END AS org FROM d),
+p AS (SELECT *, unnest(range(1, len(sc) + 1)) AS p FROM m),
+b AS (SELECT *, unnest([sc[p], sc[p] || sc[p + 1], sc[p] || sc[p + 1] || sc[p + 2]]) AS key FROM p WHERE p = 1 OR CASE WHEN regexp_matches(sc[p], {_LETTER}) THEN org[p] - 1 = org[p - 1] AND (NOT regexp_matches(sc[p - 1], {_LETTER}) OR (lang = 'ar' AND sc[p - 1] IN ('ب', 'ف', 'ل', 'و'))) ELSE NOT regexp_matches(sc[p - 1], {_LETTER}) END),
+c AS (SELECT doc_id, lang, org[p] AS s, org[p + n] AS e, n, term_id, target_term FROM b JOIN t ON b.lang = t.source_lang AND b.key = t.key WHERE p + n - 1 <= len(sc) AND array_to_string(sc[p:p + n - 1], '') = norm AND NOT regexp_matches(coalesce(xc[org[p + n] + 1], ' '), {_LETTER})),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, n DESC) AS i FROM c),
+k AS (SELECT *, true AS kept, e AS done FROM o WHERE i = 1 UNION ALL SELECT o.*, o.s >= k.done, CASE WHEN o.s >= k.done THEN o.e ELSE k.done END FROM k JOIN o ON o.doc_id = k.doc_id AND o.i = k.i + 1)
+SELECT doc_id, lang, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, term_id, target_term FROM k WHERE kept"""
+
 ORACLE = {
+    "glossary_scan": _SCAN,
     "glossary_conflict": "SELECT source_lang, source_term_norm, term_id, target_term FROM (SELECT *, row_number() OVER (PARTITION BY source_lang, source_term_norm ORDER BY priority DESC NULLS LAST, length(source_term) DESC NULLS LAST, (coalesce(law_ref, '') <> '') DESC, file_order NULLS FIRST, term_id) AS r FROM terms WHERE source_term_norm IS NOT NULL) WHERE r = 1",
     "glossary_reverse": f"WITH s AS (SELECT term_id, file_order, target_lang AS source_lang, source_lang AS target_lang, {_NORM} AS source_term_norm FROM terms WHERE target_lang IN ('ar', 'en') AND target_term IS NOT NULL) SELECT term_id, source_lang, target_lang, source_term_norm FROM (SELECT *, row_number() OVER (PARTITION BY source_term_norm, source_lang, target_lang ORDER BY file_order, term_id) AS r FROM s WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE t.source_term_norm = s.source_term_norm AND t.source_lang = s.source_lang AND t.target_lang = s.target_lang)) WHERE r = 1",
     "glossary_duplicates": "SELECT file_path, source_term_norm, source_lang, target_lang, count(*) AS n FROM terms GROUP BY ALL HAVING count(*) > 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from qirtas.functions.text import normalize
 from qirtas.plans.skew import numbered
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 TERM_DDL = "source_term string, source_lang string, target_term string, target_lang string, law_ref string, article_ref string, note string, priority int"
 FILE_DDL = f"domain string, version string, last_updated string, terms array<struct<{', '.join(c.replace(' ', ': ', 1) for c in TERM_DDL.split(', '))}>>"
 
@@ -78,29 +83,38 @@ def _slot(key: str) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % KEY_BITS
 
 
+def _shown(text: str, lang: str) -> tuple[str, list[int] | None]:
+    """(normalised text, its characters' places in the original if they differ)."""
+    if lang == "ar":
+        if not NOISE.search(text):
+            return text.translate(_AR_FOLD), None
+        places = [i for i, c in enumerate(text) if not NOISE.match(c)]
+        return "".join(text[i] for i in places).translate(_AR_FOLD), [*places, len(text)]
+    shown = text.lower()
+    return (shown if len(shown) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)), None
+
+
+def _begins(shown: str, places: list[int] | None, p: int, lang: str) -> bool:
+    """Whether a term may begin at ``p``: not within a word, but behind an Arabic clitic. A mark just before is a letter too, and blocks."""
+    if p == 0:
+        return True
+    before = shown[p - 1]
+    if not _LETTER.match(shown[p]):
+        return not _LETTER.match(before)
+    if places is not None and places[p] - 1 != places[p - 1]:
+        return False
+    return not _LETTER.match(before) or (lang == "ar" and before in CLITICS)
+
+
 def _starts(text: str, lang: str) -> tuple[str, list[int] | None, list[int]]:
     """(normalised text, its characters' places in the original if they differ, where a term may begin)."""
-    places = None
-    if lang == "ar":
-        if NOISE.search(text):
-            places = [i for i, c in enumerate(text) if not NOISE.match(c)]
-            shown = "".join(text[i] for i in places).translate(_AR_FOLD)
-            places.append(len(text))
-        else:
-            shown = text.translate(_AR_FOLD)
-    else:
-        shown = text.lower()
-        if len(shown) != len(text):
-            shown = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out = [m.start() for m in _OTHER.finditer(shown) if m.start() == 0 or not _LETTER.match(shown[m.start() - 1])]
+    shown, places = _shown(text, lang)
+    out = [m.start() for m in _OTHER.finditer(shown)]
     for m in RUN.finditer(shown):
-        s = m.start()
-        # A mark just before is a letter too, and blocks.
-        if places is None or s == 0 or places[s] - 1 == places[s - 1]:
-            out.append(s)
+        out.append(m.start())
         if lang == "ar":
-            out += [p for p in range(s + 1, m.end()) if shown[p - 1] in CLITICS and (places is None or places[p] - 1 == places[p - 1])]
-    return shown, places, sorted(out)
+            out += [p for p in range(m.start() + 1, m.end()) if shown[p - 1] in CLITICS]
+    return shown, places, sorted(p for p in out if _begins(shown, places, p, lang))
 
 
 def _keys(shown: str, p: int) -> tuple[str, str]:
@@ -108,6 +122,19 @@ def _keys(shown: str, p: int) -> tuple[str, str]:
     return shown[p : p + KEY_CHARS], m[0] if m else shown[p]
 
 
+#: Terms, and characters of terms, up to which the dictionary is broadcast; beyond, texts and terms are joined.
+DICTIONARY_TERMS, DICTIONARY_CHARS = 200_000, 8_000_000
+_CARRIED = ["source_term_norm", "term_id", "target_term", "target_lang", "law_ref", "article_ref", "note", "priority"]
+
+
+def _keyed(terms: DataFrame) -> DataFrame:
+    """Winning terms with the key by which a text finds them."""
+    best = winners(terms).where("source_lang in ('ar', 'en') and source_term_norm <> ''")
+    run = F.regexp_extract("source_term_norm", f"^[{LETTERS}]+", 0)
+    short = F.when(run == "", F.substring("source_term_norm", 1, 1)).otherwise(run)
+    return best.withColumn("_key", F.when(F.length("source_term_norm") >= KEY_CHARS, F.substring("source_term_norm", 1, KEY_CHARS)).otherwise(short))
+
+
 def candidates(docs: DataFrame, terms: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """Places where a winning term stands between boundaries: ``doc_id``, ``char_start``, ``char_end`` and the term.
 
@@ -117,10 +144,7 @@ def candidates(docs: DataFrame, terms: DataFrame, key: str, text: str, lang: str
     may follow a clitic. Marks behind an Arabic term belong to it. Documents and
     terms in other languages, null texts and blank terms match nothing.
     """
-    best = winners(terms).where("source_lang in ('ar', 'en') and source_term_norm <> ''")
-    run = F.regexp_extract("source_term_norm", f"^[{LETTERS}]+", 0)
-    short = F.when(run == "", F.substring("source_term_norm", 1, 1)).otherwise(run)
-    best = best.withColumn("_key", F.when(F.length("source_term_norm") >= KEY_CHARS, F.substring("source_term_norm", 1, KEY_CHARS)).otherwise(short))
+    best = _keyed(terms)
     keys = best.select(F.pmod(F.crc32(F.encode("_key", "UTF-8")), F.lit(KEY_BITS)).alias("slot")).distinct().toArrow()["slot"].to_numpy()
     bitmap = np.zeros(KEY_BITS, bool)
     bitmap[keys] = True
@@ -164,12 +188,92 @@ def candidates(docs: DataFrame, terms: DataFrame, key: str, text: str, lang: str
     return ended.drop("_key", "_text", "_places", "_after")
 
 
+Finder = Callable[[str], Iterable[tuple[int, str]]]
+
+
+def automaton_finder(terms: Iterable[str]) -> Finder:
+    """Places and terms of all occurrences, by an Aho-Corasick automaton."""
+    own = ahocorasick.Automaton()
+    for t in terms:
+        own.add_word(t, t)
+    own.make_automaton()
+    return lambda shown: ((end - len(t) + 1, t) for end, t in own.iter(shown))
+
+
+def pattern_finder(terms: Iterable[str]) -> Finder:
+    """The same by one regular expression for the keys of the terms, for workers without the automaton's library."""
+    by_key: dict[str, list[str]] = {}
+    for t in terms:
+        by_key.setdefault(t[:3], []).append(t)
+    starts = re.compile("(?=(" + "|".join(map(re.escape, sorted(by_key, key=len, reverse=True))) + "))")
+
+    def find(shown: str) -> Iterator[tuple[int, str]]:
+        for m in starts.finditer(shown):
+            p = m.start()
+            # A shorter key may hide behind a longer one.
+            for n in range(1, len(m[1]) + 1):
+                for t in by_key.get(m[1][:n], ()):
+                    if shown.startswith(t, p):
+                        yield p, t
+
+    return find
+
+
+def finder(terms: Iterable[str]) -> Finder:
+    return automaton_finder(terms) if ahocorasick is not None else pattern_finder(terms)
+
+
+def _kept(text: str, lang: str, find: Finder) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the occurrences between boundaries, left to right, the longest at each place, none overlapping."""
+    shown, places = _shown(text, lang)
+    met = []
+    for p, t in find(shown):
+        stop = p + len(t)
+        start, end = (p, stop) if places is None else (places[p], places[stop])
+        if not _LETTER.match(text, end) and _begins(shown, places, p, lang):
+            met.append((start, -len(t), end, t))
+    out, done = [], 0
+    for start, _, end, t in sorted(met):
+        if start >= done:
+            out.append((start, end, t))
+            done = end
+    return out
+
+
+def _scan_broadcast(docs: DataFrame, best: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """:func:`scan` with a dictionary of a measured size in every task: one pass, no shuffle."""
+    chosen = best.select(F.col("source_lang").alias("lang"), "_key", *_CARRIED)
+    index: dict[str, dict[str, tuple]] = {}
+    for r in chosen.collect():
+        index.setdefault(r["lang"], {})[r["source_term_norm"]] = tuple(r[c] for c in _CARRIED)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finders = {g: finder(own) for g, own in shared.value.items()}
+        for b in batches:
+            out = []
+            for i, x, g in zip(b["doc_id"], b["text"], b["lang"], strict=True):
+                if g in finders:
+                    out += [(i, g, start, end, *shared.value[g][term]) for start, end, term in _kept(x, g, finders[g])]
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "char_start", "char_end", *_CARRIED])
+
+    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
+    base = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang")).where("text is not null and lang in ('ar', 'en')")
+    return base.mapInPandas(run, f"doc_id {docs.schema[key].dataType.simpleString()}, lang string, char_start int, char_end int, " + ", ".join(f"{c} {kinds[c]}" for c in _CARRIED))
+
+
 def scan(docs: DataFrame, terms: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """Hits of :func:`candidates` from left to right, the longest at each place, none overlapping.
 
-    A document's candidates are folded in one task: their number is bounded by the
-    document's words, not by the collection.
+    A dictionary of at most DICTIONARY_TERMS terms and DICTIONARY_CHARS characters,
+    both counted first, travels to the texts; a larger one is joined with them,
+    with the same result. There a document's candidates are folded in one task:
+    their number is bounded by the document's words, not by the collection.
     """
+    best = _keyed(terms)
+    size = best.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("source_term_norm") + sum(F.coalesce(F.length(c), F.lit(0)) for c in _CARRIED if c in ("target_term", "law_ref", "article_ref", "note"))), F.lit(0)).alias("c")).first()
+    if size["n"] <= DICTIONARY_TERMS and size["c"] <= DICTIONARY_CHARS:
+        return _scan_broadcast(docs, best, key, text, lang)
     found = candidates(docs, terms, key, text, lang)
     fields = [c for c in found.columns if c not in ("doc_id", "lang")]
     entry = F.struct("char_start", (-F.length("source_term_norm")).alias("_order"), "char_end", *[c for c in fields if c not in ("char_start", "char_end")])

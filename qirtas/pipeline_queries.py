@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qirtas.tables import read
+from qirtas.text_queries import BLOCKS_SQL, MARGIN_SQL
 from qirtas.functions.protect import protect, restore
 from qirtas.functions.text import host_allowed
 from qirtas.operators import diagnostics, embedding, operations, rendering, vectors, verdicts, web
@@ -67,16 +68,14 @@ def _auditor(prompts: pd.Series) -> pd.Series:
 
 
 def _run(s: SparkSession, d: str, requests: DataFrame, entries: DataFrame) -> DataFrame:
-    out = pipeline.run(requests.dropDuplicates(["request_id"]), read(s, d, "terms"), read(s, d, "context_chunks"), entries, _translator, _auditor)
+    out = pipeline.run(requests.dropDuplicates(["request_id"]), read(s, d, "terms"), read(s, d, "context_chunks"), entries, _translator, _auditor, embedder=embedding.hash_embedder)
     return out.select("request_id", "route", "revision_count", F.size("glossary_hits").alias("n_hits"), F.size("context_chunks").alias("n_chunks"), "audit.verdict", F.size("history").alias("n_passes"), F.size("warnings").alias("n_warnings"), F.length(pipeline.batch_records(out)).alias("n_record"))
 
 
 def pipeline_run(s: SparkSession, d: str) -> DataFrame:
     """Glossary hits as requests, every one through the whole pipeline with deterministic stand-ins for the models."""
     requests = read(s, d, "glossary_hits").where("source_term is not null and hit_id is not null").select(F.col("hit_id").alias("request_id"), F.col("source_term").alias("text"), F.lit(None).cast("string").alias("direction"))
-    terms = read(s, d, "terms")
-    entries = terms.select(F.col("term_id").alias("id"), F.col("source_term").alias("source_sentence"), F.col("target_term").alias("target_sentence"), "source_lang")
-    return _run(s, d, requests, entries)
+    return _run(s, d, requests, read(s, d, "tm_entries").select("id", "source_sentence", "target_sentence", "source_lang"))
 
 
 def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
@@ -88,7 +87,7 @@ def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
 def protect_restore(s: SparkSession, d: str) -> DataFrame:
     p = read(s, d, "tm_entries").where("source_sentence is not null").select("id", "source_sentence", protect("source_sentence").alias("p"))
     back = restore("p.masked", "p.tokens")
-    return p.select("id", F.md5(back).alias("text_md5"), F.size(F.array_distinct("p.tokens")).cast("bigint").alias("n_kept"), F.size("p.tokens").cast("bigint").alias("n_tokens"))
+    return p.select("id", F.md5(back).alias("text_md5"), (F.size(F.array_distinct("p.tokens")) == F.size("p.tokens")).alias("marked"))
 
 
 def segment_dedup(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +98,8 @@ def segment_dedup(s: SparkSession, d: str) -> DataFrame:
 
 def page_paragraphs(s: SparkSession, d: str) -> DataFrame:
     pages = read(s, d, "context_chunks").select(F.col("law_slug").alias("doc"), F.col("chunk_idx").alias("page"), "text")
-    return office.sidecar_text(office.page_paragraphs(pages.where("doc is not null")))
+    text = office.sidecar_text(office.page_paragraphs(pages.where("doc is not null")))
+    return text.select("doc", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"))
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,25 @@ _SQL_REPLY = _REPLY.replace("'```json\n'", "'```json' || chr(10)").replace("'\n`
 _H = "(SELECT doc_id, list_sort(list(DISTINCT struct_pack(char_start := char_start, source_term := source_term, target_term := target_term, law_ref := law_ref)), 'ASC', 'NULLS FIRST') AS hits FROM glossary_hits WHERE source_term IS NOT NULL AND target_term IS NOT NULL GROUP BY 1)"
 _PAGE = "(SELECT term_id % 25 AS page_id, 'https://site' || (term_id % 25) || '.example.org' AS host, row_number() OVER (PARTITION BY term_id % 25 ORDER BY term_id) - 1 AS pos, CASE WHEN term_id % 3 = 0 THEN 'https://law.example.org/view.' || (term_id % 50) ELSE 'https://site' || (term_id % 25) || '.example.org/doc/' || (term_id % 40) END AS url, trim(regexp_replace(' ' || source_term || '  & more', '\\s+', ' ', 'g')) AS title FROM terms WHERE source_term IS NOT NULL)".replace("\\\\", "\\")
 
+def _folded(start: str, admitted: str, after: str) -> str:
+    """SQL that folds each user's events in order of time; ``s`` is the state before, ``t`` the time in seconds."""
+    return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS admitted, CAST({start} AS DOUBLE[]) AS s FROM (SELECT DISTINCT user_id FROM o)
+UNION ALL SELECT user_id, i, event_id, admitted, {after} FROM (SELECT f.user_id, o.i, o.event_id, o.t, f.s, {admitted} AS admitted FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT event_id, admitted FROM f WHERE i > 0"""
+
+
+_RECENT = "list_filter(s, lambda x: x > t - 3600)"
+_TOKENS = "(CASE WHEN len(s) > 1 THEN least(CAST(2 AS DOUBLE), s[1] + CAST(1 AS DOUBLE) / 3600 * (t - s[2])) ELSE s[1] END)"
+_BLOCKS = BLOCKS_SQL.format(t="text")
+_PARAGRAPHS = f"(SELECT doc, t, min(struct_pack(page := page, pos := pos)) AS o FROM (SELECT law_slug AS doc, chunk_idx AS page, len(b) AS n, unnest(b) AS t, unnest(range(len(b))) AS pos FROM (SELECT law_slug, chunk_idx, {_BLOCKS} AS b FROM context_chunks WHERE text IS NOT NULL AND law_slug IS NOT NULL)) WHERE NOT ({MARGIN_SQL}) GROUP BY 1, 2)"
+
 ORACLE = {
+    "rate_limit_window": _folded("[]", f"len({_RECENT}) < 2", f"CASE WHEN admitted THEN {_RECENT} || [t] ELSE {_RECENT} END"),
+    "rate_limit_bucket": _folded("[2]", f"{_TOKENS} >= 1", f"[{_TOKENS} - CAST(admitted AS INTEGER), t]"),
+    "ttl_cache_hits": _folded("[]", "len(s) > 0 AND t - s[1] < 7200", "CASE WHEN admitted THEN s ELSE [t] END"),
+    "page_paragraphs": f"SELECT doc, md5(text) AS text_md5, length(text) AS n FROM (SELECT doc, string_agg(t, chr(10) || chr(10) || '--- page break ---' || chr(10) || chr(10) ORDER BY page) AS text FROM (SELECT doc, o.page AS page, string_agg(t, chr(10) || chr(10) ORDER BY o.pos, t) AS t FROM {_PARAGRAPHS} GROUP BY 1, 2) GROUP BY 1)",
+    "protect_restore": "SELECT id, md5(source_sentence) AS text_md5, true AS marked FROM tm_entries WHERE source_sentence IS NOT NULL",
     "verdict_parse": f"SELECT hit_id, CASE WHEN ok AND priority >= 8 THEN 'APPROVE' ELSE 'REVISE' END AS verdict, CAST(0 AS BIGINT) AS n_violations, CAST(CASE WHEN ok AND hit_id % 5 <> 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS confidence, CAST(CASE WHEN ok THEN 0 ELSE {len(verdicts.UNREADABLE)} END AS BIGINT) AS n_critique FROM (SELECT *, hit_id % 7 <> 0 AND hit_id % 11 <> 0 AS ok FROM glossary_hits)",
     "route_tm": "SELECT chunk_id, CASE WHEN 1 - distance >= 0.7::DOUBLE THEN 'bypass' ELSE 'translate' END AS route, round(1 - distance, 6) AS score FROM context_chunks",
     "route_audit": "SELECT hit_id, CASE WHEN priority >= 8 OR coalesce(priority, 0) >= 5 THEN 'finalize' ELSE 'translate' END AS route FROM glossary_hits",

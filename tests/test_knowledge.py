@@ -42,9 +42,12 @@ def test_scan(spark, text, lang, wanted):
     assert got == wanted
 
 
-def test_scan_against_regex(spark):
-    from tests.conftest import DATA
-
+@pytest.mark.parametrize("way", ["automaton", "pattern", "join"])
+def test_scan_against_regex(spark, monkeypatch, way):
+    if way == "pattern":
+        monkeypatch.setattr(glossary, "finder", glossary.pattern_finder)
+    if way == "join":
+        monkeypatch.setattr(glossary, "DICTIONARY_TERMS", 0)
     docs = spark.read.parquet(str(DATA / "documents.parquet")).where("lang = 'en' and text is not null")
     own = spark.read.parquet(str(DATA / "terms.parquet"))
     got = {(r.doc_id, r.char_start, r.char_end, r.term_id) for r in glossary.scan(docs, own, "doc_id", "text", "lang").collect()}
@@ -56,6 +59,24 @@ def test_scan_against_regex(spark):
     assert got == want and want
 
 
+def test_finders():
+    terms_ = ["a", "ab", "abab", "babc", "b c", "عقد"]
+    text = "ababab b c abc عقد"
+    want = sorted((i, t) for t in terms_ for i in range(len(text)) if text.startswith(t, i))
+    assert sorted(glossary.automaton_finder(terms_)(text)) == want == sorted(glossary.pattern_finder(terms_)(text))
+
+
+@pytest.mark.parametrize("rows", [ROWS, [*ROWS, ("د", "ar", "d", 1)]])
+def test_scan_ways_agree(spark, monkeypatch, rows):
+    texts = ["بعقد البيع والعقد عقد", "عَقْدٌ عــقد المحكمة الاتحادية", "لعقد وعقد فعقد كعقد", "a contract of sale contract of sales", "د بد لد"]
+    docs = spark.createDataFrame([(i, t, g) for i, t in enumerate(texts) for g in ("ar", "en")], "doc_id int, text string, lang string")
+    got = []
+    for most in (10, 0):
+        monkeypatch.setattr(glossary, "DICTIONARY_TERMS", most)
+        got.append(sorted(tuple(r) for r in glossary.scan(docs, terms(spark, rows), "doc_id", "text", "lang").select("doc_id", "lang", "char_start", "char_end", "target_term").collect()))
+    assert got[0] == got[1] and got[0]
+
+
 def test_reverse_terms(spark):
     got = {(r.source_term, r.target_term) for r in glossary.reverse_terms(terms(spark, ROWS)).collect()}
     assert ("court", "المحكمة") in got and ("contract of sale", "عقد البيع") not in got
@@ -80,6 +101,24 @@ def test_memory(spark):
     assert [(r.source_sentence, r.id > 3) for r in again.collect()] == [("new", True)]
 
 
+def test_memory_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = ["".join(rng.choice(list("abcde fgh"), size=rng.integers(1, 60))) for _ in range(60)]
+    texts = base + [t[:k] + "x" + t[k + 1 :] for t in base for k in (0, len(t) // 2)] + [t + "y" for t in base] + base[:5] + ["", "a", "aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaab"]
+    entries = spark.createDataFrame([(i, t, "t", "en" if i % 7 else "ar") for i, t in enumerate(texts)], "id bigint, source_sentence string, target_sentence string, source_lang string")
+    q = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*base, *(t[1:] for t in base), "aaaaaaaaaaaaaaaaaaaaaaac"])], "query_id bigint, text string, lang string")
+    for threshold in (0.98, 0.93):
+        got = {r.query_id: round(r.similarity, 9) for r in memory.lookup(q, entries, threshold).collect()}
+        want = {}
+        for r in q.collect():
+            top = max(difflib.SequenceMatcher(None, r.text, t).ratio() for i, t in enumerate(texts) if i % 7)
+            if top >= threshold:
+                want[r.query_id] = round(top, 9)
+        assert got == want and len(want) > 30
+    built = memory.rebuild(entries.withColumn("target_lang", F.lit("fr")).withColumn("law_slug", F.lit(None).cast("string")).withColumn("article", F.lit("1")))
+    assert sorted(r.id for r in built.collect()) == list(range(1, len(texts) + 1))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(200, 8))
