@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qirtas.functions.text import approx_token_count
@@ -91,10 +91,13 @@ def cut(text: str, begin: int, end: int, limit: int, overlap: int) -> list[tuple
 
 
 def _takeover(text: str, at: int, top: int) -> int:
-    """Where the range that begins at ``at`` takes over: the first sentence boundary in its halo, else the halo's end."""
-    window = text[at : min(at + HALO_CHARS, top)]
-    m = SENTENCE.search(window)
-    return at + m.end() if m else min(at + HALO_CHARS, top)
+    """Where the range that begins at ``at`` takes over: the first sentence boundary in its halo, else the last space there, else the halo's end."""
+    end = min(at + HALO_CHARS, top)
+    window = text[at:end]
+    if m := SENTENCE.search(window):
+        return at + m.end()
+    spaces = [m.end() for m in SPACE.finditer(window)]
+    return at + spaces[-1] if spaces else end
 
 
 def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 512, overlap: int = 64, range_chars: int = RANGE_CHARS) -> DataFrame:
@@ -104,8 +107,9 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 512,
     pieces overlap by ``overlap`` tokens (see :func:`cut`). A text longer than
     ``range_chars`` is cut by several workers: each sees one range with halos,
     finds by itself the boundaries where it takes over and hands on, and emits
-    pieces by offset; prefix sums over the ranges' piece counts number them.
-    No worker holds more than a range. Null texts and texts within the limit give
+    pieces by offset; prefix sums over the ranges' piece counts number them. The
+    task that reads the row holds its text once; texts that should not be held whole
+    stay in files, see :func:`split_files`. Null texts and texts within the limit give
     no row; an empty text has one token.
     """
     if limit <= 0 or not 0 <= overlap < limit:
@@ -139,7 +143,11 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 512,
     parts = short.select("id", F.lit(0).alias("range_no"), F.lit(0).alias("at"), F.length("text").alias("length"), "text")
     parts = parts.unionByName(long.mapInPandas(ranges, schema).repartition("id", "range_no"))
     found = written(parts.mapInPandas(pieces, f"id {kind}, range_no int, n int, piece_start int, piece_end int, piece_text string"), "pieces")
-    # Prefix sums over ranges, a row per range, number the pieces.
+    return _numbered(found)
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Pieces of ranges (``id, range_no, n, ...``) numbered over their text by prefix sums of how many each range has."""
     counts = found.groupBy("id", "range_no").agg(F.count(F.lit(1)).alias("n_here"))
     whole = Window.partitionBy("id")
     before = counts.select("id", "range_no", (F.sum("n_here").over(whole.orderBy("range_no")) - F.col("n_here")).alias("before"), F.sum("n_here").over(whole).alias("n_pieces"))
@@ -147,6 +155,84 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 512,
     return numbered.select("id", (F.col("before") + F.col("n")).cast("int").alias("piece_no"), F.col("n_pieces").cast("int").alias("n_pieces"), "piece_start", "piece_end", "piece_text")
 
 
+#: Bytes of a range of a file. A character has at most four bytes.
+RANGE_BYTES, WIDEST = 1 << 25, 4
+
+
+def _read(path: str, start: int, end: int) -> bytes:
+    """Bytes [start, end) of a file on any file system that pyarrow knows."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path.replace("file:", "file://", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    with system.open_input_file(name) as f:
+        f.seek(start)
+        return f.read(end - start)
+
+
+def _leads(data: bytes) -> np.ndarray:
+    """Places of the bytes that begin a character of UTF-8."""
+    codes = np.frombuffer(data, np.uint8)
+    return np.flatnonzero((codes & 0xC0) != 0x80)
+
+
+def split_files(spark: SparkSession, path: str, limit: int = 512, overlap: int = 64, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Pieces of UTF-8 text files of any size: ``id`` (the path), ``piece_no``, ``n_pieces``, ``piece_start``, ``piece_end``, ``piece_text``.
+
+    No file is read whole. Workers read ranges of bytes: a first pass tells how many
+    characters begin in each range and, from a halo behind its start, where it takes
+    over from the one before; these boundary tables, a row per range, are stitched by
+    prefix sums, which turn places in a range into offsets in the file. A second pass
+    reads each range with its halos and emits the pieces between its own boundary and
+    the next one's. Offsets count characters. A file within the limit is one piece,
+    an empty one none. Bytes that are no UTF-8 are an error.
+    """
+    if limit <= 0 or not 0 <= overlap < limit:
+        raise ValueError("limit must be positive and overlap in [0, limit)")
+    if range_bytes < WIDEST * HALO_CHARS:
+        raise ValueError(f"a range must have at least {WIDEST * HALO_CHARS} bytes")
+    halo = WIDEST * (HALO_CHARS + 1)
+    back = WIDEST * (8 * overlap + 9)
+    # Only names and lengths of the files are looked at here.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
+    ranges = files.select(F.col("path").alias("id"), "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / range_bytes))).alias("range_no")).repartition("id", "range_no")
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, length, k in b[["id", "length", "range_no"]].itertuples(index=False):
+                start = k * range_bytes
+                data = _read(i, start, min(start + range_bytes + halo, length))
+                leads = _leads(data)
+                first, n = int(leads[0]) if len(leads) else 0, int((leads < range_bytes).sum())
+                # The halo's end may cut a character in two.
+                window = data[first : int(leads[min(HALO_CHARS, len(leads) - 1)])] if len(leads) > HALO_CHARS else data[first:]
+                text = window.decode("utf-8")
+                out.append((i, k, length, n, _takeover(text, 0, len(text)) if k else 0))
+            yield pd.DataFrame(out, columns=["id", "range_no", "length", "n_chars", "takes_over"])
+
+    found = written(ranges.mapInPandas(tables, "id string, range_no bigint, length bigint, n_chars bigint, takes_over bigint"), "boundaries")
+    order = Window.partitionBy("id").orderBy("range_no")
+    stitched = found.select("id", "range_no", "length", "takes_over", (F.sum("n_chars").over(order) - F.col("n_chars")).alias("at"), F.lead("takes_over").over(order).alias("next"), "n_chars")
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, k, length, own, at, after, n in b[["id", "range_no", "length", "takes_over", "at", "next", "n_chars"]].itertuples(index=False):
+                start = max(0, k * range_bytes - back)
+                data = _read(i, start, min((k + 1) * range_bytes + halo, length))
+                leads = _leads(data)
+                origin = int((leads < k * range_bytes - start).sum())
+                last = origin + n + (HALO_CHARS if after == after else 0)
+                text = data[int(leads[0]) : int(leads[last]) if last < len(leads) else len(data)].decode("utf-8")
+                end = origin + n + int(after) if after == after else len(text)
+                for m, (x, y) in enumerate(cut(text, origin + own, end, limit, overlap)):
+                    out.append((i, k, m, at - origin + x, at - origin + y, text[x:y]))
+            yield pd.DataFrame(out, columns=["id", "range_no", "n", "piece_start", "piece_end", "piece_text"])
+
+    spread = written(stitched, "stitched").repartition("id", "range_no")
+    return _numbered(written(spread.mapInPandas(pieces, "id string, range_no bigint, n int, piece_start bigint, piece_end bigint, piece_text string"), "file-pieces"))
+
+
 def rechunk(chunks: DataFrame, limit: int = 512, overlap: int = 64) -> DataFrame:
     """Chunks with the oversized ones replaced by their pieces.
 

@@ -115,6 +115,23 @@ def test_split_oversized(spark, range_chars):
         split_oversized.split_oversized(df, "n", "body", limit=0)
 
 
+def test_split_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(split_oversized, "HALO_CHARS", 200)
+    rng = random.Random(5)
+    texts = {"a": " ".join(rng.choices(["word", "كلمة", "end.", "نهاية؟", "\n\n", "汉字。", "😀"], k=9000)), "b": "x" * 9000, "c": "short", "d": "", "e": "ก" * 300 + " " + "ข" * 4000}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t, encoding="utf-8", newline="")
+    rows = split_oversized.split_files(spark, str(tmp_path), range_bytes=3000).collect()
+    for name, t in texts.items():
+        own = sorted((r.piece_no, r.piece_start, r.piece_end, r.piece_text, r.n_pieces) for r in rows if r.id.endswith("/" + name))
+        assert [o[0] for o in own] == list(range(len(own))) and bool(own) == bool(t)
+        assert all(t[s:e] == piece and n == len(own) for _, s, e, piece, n in own)
+        if t:
+            check_pieces(t, [o[1:3] for o in own], 512, 64)
+    with pytest.raises(ValueError):
+        split_oversized.split_files(spark, str(tmp_path), range_bytes=5)
+
+
 def test_rechunk_offsets(spark):
     text = ("Sentence number one is here. " * 200).strip()
     rows = [("a_0", "short", "l", None, "en", 0, 0, 5), ("a_1", text, "l", None, "en", 1, 6, 6 + len(text)), ("a_2", None, "l", None, "en", 2, 9000, 9001)]
