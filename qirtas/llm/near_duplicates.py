@@ -26,7 +26,7 @@ GRID_BLOCK = 20_000
 #: Sequences and groups dealt out that way at most: where there would be more, the block grows, so their table stays small enough to broadcast.
 MOST_LARGE = 100_000
 #: Postings that one task of the prefix join reads from either side.
-TASK_POSTINGS = 300_000
+TASK_POSTINGS = 2_000_000
 #: Mask of one of the sizes packed into a posting.
 _LOW = (1 << 20) - 1
 #: Rows whose two texts are the same characters, up to so many, are expanded to all pairs among them; of more, each is linked to the smallest id.
