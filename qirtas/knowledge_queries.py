@@ -19,6 +19,10 @@ def glossary_reverse(s: SparkSession, d: str) -> DataFrame:
     return glossary.reverse_terms(read(s, d, "terms")).select("term_id", "source_lang", "target_lang", "source_term_norm")
 
 
+def glossary_with_reverse(s: SparkSession, d: str) -> DataFrame:
+    return glossary.with_reverse(read(s, d, "terms")).select("term_id", "source_lang", "target_lang", "source_term_norm", "derived")
+
+
 def glossary_duplicates(s: SparkSession, d: str) -> DataFrame:
     return glossary.duplicate_keys(read(s, d, "terms"))
 
@@ -44,7 +48,7 @@ def hit_frequency(s: SparkSession, d: str) -> DataFrame:
 def article_parse(s: SparkSession, d: str) -> DataFrame:
     """Documents as corpus files: registers are written that way, others have a problem."""
     files = read(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return corpus.parse_corpus(files).select("path", "law", "source", "lang", "number", F.col("ordinal").cast("bigint").alias("ordinal"), F.md5("text").alias("text_md5"), "problem")
+    return corpus.parse_corpus(files).select("path", "law", "source", "lang", "number", F.col("ordinal").cast("bigint").alias("ordinal"), F.md5("text").alias("text_md5"), "char_start", "problem")
 
 
 def chunk_pack(s: SparkSession, d: str) -> DataFrame:
@@ -109,6 +113,11 @@ def tm_both_directions(s: SparkSession, d: str) -> DataFrame:
     return memory.both_directions(t).groupBy("source_lang", "target_lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source_sentence")).alias("n_chars"))
 
 
+def tm_rebuild(s: SparkSession, d: str) -> DataFrame:
+    """A memory built anew from pairs."""
+    return memory.rebuild(read(s, d, "tm_entries")).select("id", F.md5("source_sentence").alias("source_md5"), F.md5("target_sentence").alias("target_md5"), "article")
+
+
 def tm_since(s: SparkSession, d: str) -> DataFrame:
     """The incremental range: ids of the upper half, in order of id."""
     t = read(s, d, "tm_entries")
@@ -127,7 +136,7 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return n.select("query_id", "neighbour_id", F.round(1 - F.col("distance"), 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-QUERIES = {q.__name__: q for q in (glossary_conflict, glossary_reverse, glossary_duplicates, glossary_validation, glossary_scan, glossary_order, hit_frequency, article_parse, chunk_leaves, chunk_pack, corpus_align, trigram_index, tm_candidates, tm_lookup, tm_sentence_candidates, tm_sentence_lookup, tm_exact, tm_both_directions, tm_since, vector_topk, vector_topk_filtered)}
+QUERIES = {q.__name__: q for q in (glossary_conflict, glossary_reverse, glossary_with_reverse, tm_rebuild, glossary_duplicates, glossary_validation, glossary_scan, glossary_order, hit_frequency, article_parse, chunk_leaves, chunk_pack, corpus_align, trigram_index, tm_candidates, tm_lookup, tm_sentence_candidates, tm_sentence_lookup, tm_exact, tm_both_directions, tm_since, vector_topk, vector_topk_filtered)}
 
 _N = COLLAPSE.format(c="lower(target_term)")
 _NORM = rf"CASE target_lang WHEN 'ar' THEN translate(regexp_replace(target_term, '[\x{{064B}}-\x{{0652}}\x{{0640}}]', '', 'g'), 'أإآى', 'اااي') ELSE trim(regexp_replace({_N}, '[.,;:!?)\]}}\"'']+$', '')) END"
@@ -174,13 +183,14 @@ UNION ALL SELECT doc_id, concat_ws('_', doc_id, 0), 0, 0, n FROM whole WHERE fit
 
 _HEAD = "max_by(trim(regexp_extract(line, '^{h}:(.*)$', 1)), pos) FILTER (WHERE starts_with(line, '{h}:') AND coalesce(pos < stop, true)) AS {n}"
 _ARTICLES = rf"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(p) AS line, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
-m AS (SELECT *, min(CASE WHEN trim(line) = '---' THEN pos END) OVER (PARTITION BY path) AS stop, regexp_extract(line, '^ARTICLE\s+(.+?)\s*$', 1) AS n FROM l),
+l2 AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY pos) - length(line) - 1 AS org FROM l),
+m AS (SELECT *, min(CASE WHEN trim(line) = '---' THEN pos END) OVER (PARTITION BY path) AS stop, regexp_extract(line, '^ARTICLE\s+(.+?)\s*$', 1) AS n FROM l2),
 h AS (SELECT path, max(stop) AS stop, {", ".join(_HEAD.format(h=x, n=x.lower()) for x in corpus.HEADER)} FROM m GROUP BY 1),
 q AS (SELECT *, CASE WHEN stop IS NULL THEN 'no --- line' WHEN coalesce(law, '') = '' OR coalesce(source, '') = '' OR coalesce(lang, '') = '' THEN 'missing ' || concat_ws(', ', CASE WHEN coalesce(law, '') = '' THEN 'LAW' END, CASE WHEN coalesce(source, '') = '' THEN 'SOURCE' END, CASE WHEN coalesce(lang, '') = '' THEN 'LANG' END) WHEN lang NOT IN ('ar', 'en') THEN 'unknown language' END AS problem FROM h),
 b AS (SELECT *, sum(CASE WHEN n <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS ordinal FROM m WHERE pos > stop),
-a AS (SELECT path, CAST(ordinal AS BIGINT) AS ordinal, max(CASE WHEN n <> '' THEN lower(trim(regexp_replace(n, '\s+', ' ', 'g'))) END) AS number, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n = ''), ''), '^\s+|\s+$', '', 'g') AS body FROM b WHERE ordinal > 0 GROUP BY 1, 2)
-SELECT path, law, source, lang, number, ordinal, md5(body) AS text_md5, problem FROM q JOIN a USING (path) WHERE problem IS NULL
-UNION ALL SELECT path, law, source, lang, NULL, NULL, NULL, problem FROM q WHERE problem IS NOT NULL"""
+a AS (SELECT path, CAST(ordinal AS BIGINT) AS ordinal, max(CASE WHEN n <> '' THEN lower(trim(regexp_replace(n, '\s+', ' ', 'g'))) END) AS number, min(org) FILTER (WHERE n = '') AS org, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n = ''), '') AS body FROM b WHERE ordinal > 0 GROUP BY 1, 2)
+SELECT path, law, source, lang, number, ordinal, md5(regexp_replace(body, '^\s+|\s+$', '', 'g')) AS text_md5, CAST(org + length(regexp_extract(body, '^\s*')) AS BIGINT) AS char_start, problem FROM q JOIN a USING (path) WHERE problem IS NULL
+UNION ALL SELECT path, law, source, lang, NULL, NULL, NULL, NULL, problem FROM q WHERE problem IS NOT NULL"""
 
 _LETTER = r"'[A-Za-z\x{0600}-\x{06FF}\x{0750}-\x{077F}]'"
 _WINNERS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_lang, source_term_norm ORDER BY priority DESC NULLS LAST, length(source_term) DESC NULLS LAST, (coalesce(law_ref, '') <> '') DESC, file_order NULLS FIRST, term_id) AS r FROM terms WHERE source_term_norm IS NOT NULL) WHERE r = 1)"
@@ -195,10 +205,14 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, n DESC) AS i
 k AS (SELECT *, true AS kept, e AS done FROM o WHERE i = 1 UNION ALL SELECT o.*, o.s >= k.done, CASE WHEN o.s >= k.done THEN o.e ELSE k.done END FROM k JOIN o ON o.doc_id = k.doc_id AND o.i = k.i + 1)
 SELECT doc_id, lang, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, term_id, target_term FROM k WHERE kept"""
 
+_REVERSE = f"WITH s AS (SELECT term_id, file_order, target_lang AS source_lang, source_lang AS target_lang, {_NORM} AS source_term_norm FROM terms WHERE target_lang IN ('ar', 'en') AND target_term IS NOT NULL) SELECT term_id, source_lang, target_lang, source_term_norm FROM (SELECT *, row_number() OVER (PARTITION BY source_term_norm, source_lang, target_lang ORDER BY file_order, term_id) AS r FROM s WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE t.source_term_norm = s.source_term_norm AND t.source_lang = s.source_lang AND t.target_lang = s.target_lang)) WHERE r = 1"
+
 ORACLE = {
     "glossary_scan": _SCAN,
     "glossary_conflict": "SELECT source_lang, source_term_norm, term_id, target_term FROM (SELECT *, row_number() OVER (PARTITION BY source_lang, source_term_norm ORDER BY priority DESC NULLS LAST, length(source_term) DESC NULLS LAST, (coalesce(law_ref, '') <> '') DESC, file_order NULLS FIRST, term_id) AS r FROM terms WHERE source_term_norm IS NOT NULL) WHERE r = 1",
-    "glossary_reverse": f"WITH s AS (SELECT term_id, file_order, target_lang AS source_lang, source_lang AS target_lang, {_NORM} AS source_term_norm FROM terms WHERE target_lang IN ('ar', 'en') AND target_term IS NOT NULL) SELECT term_id, source_lang, target_lang, source_term_norm FROM (SELECT *, row_number() OVER (PARTITION BY source_term_norm, source_lang, target_lang ORDER BY file_order, term_id) AS r FROM s WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE t.source_term_norm = s.source_term_norm AND t.source_lang = s.source_lang AND t.target_lang = s.target_lang)) WHERE r = 1",
+    "glossary_reverse": _REVERSE,
+    "glossary_with_reverse": f"SELECT term_id, source_lang, target_lang, source_term_norm, false AS derived FROM terms UNION ALL SELECT term_id, source_lang, target_lang, source_term_norm, true FROM ({_REVERSE})",
+    "tm_rebuild": "SELECT row_number() OVER (ORDER BY source_sentence NULLS FIRST, target_sentence NULLS FIRST, source_lang NULLS FIRST, target_lang NULLS FIRST, law_slug NULLS FIRST, article NULLS FIRST) AS id, md5(source_sentence) AS source_md5, md5(target_sentence) AS target_md5, article FROM tm_entries WHERE source_sentence IS NOT NULL AND target_sentence IS NOT NULL",
     "glossary_duplicates": "SELECT file_path, source_term_norm, source_lang, target_lang, count(*) AS n FROM terms GROUP BY ALL HAVING count(*) > 1",
     "glossary_order": "SELECT term_id, row_number() OVER (ORDER BY file_path, file_order, term_id) AS run FROM terms",
     "hit_frequency": "SELECT source_lang, law_ref, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(max(priority) AS BIGINT) AS top FROM glossary_hits GROUP BY 1, 2",

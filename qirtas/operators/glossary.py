@@ -50,6 +50,45 @@ def term_problem(df: DataFrame) -> Column:
     )
 
 
+def file_problems(files: DataFrame) -> DataFrame:
+    """``file_path, problem`` of glossary files (``file_path, content``) that have one: no JSON object, a missing head, no terms, a bad term, a key twice.
+
+    A file is one row: glossaries are written by hand. The first problem of each kind is named.
+    """
+    text = F.col("content")
+    parsed = F.from_json(text, FILE_DDL)
+    fields = F.json_object_keys(text)
+    missing = F.array_except(F.array(*[F.lit(f) for f in ("domain", "version", "last_updated", "terms")]), fields)
+    head = (
+        F.when(F.coalesce(fields.isNull(), F.lit(True)), "root is not a JSON object")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing required field "), F.array_join(missing, ", ")))
+        .when(F.coalesce(F.size(parsed["terms"]), F.lit(0)) <= 0, "terms must be a non-empty array")
+    )
+    heads = files.select("file_path", head.alias("problem"), parsed.alias("_p"))
+    terms = heads.where("problem is null").select("file_path", F.posexplode("_p.terms").alias("pos", "t")).select("file_path", "pos", "t.*")
+    terms = terms.withColumn("source_term_norm", F.when(F.col("source_lang").isin("ar", "en"), normalize(F.col("source_term"), F.when(F.col("source_lang").isin("ar", "en"), F.col("source_lang")))))
+    bad = terms.withColumn("problem", term_problem(terms)).where("problem is not null")
+    first = bad.groupBy("file_path").agg(F.min(F.struct("pos", "problem")).alias("b")).select("file_path", F.concat(F.lit("term "), F.col("b.pos").cast("string"), F.lit(": "), F.col("b.problem")).alias("problem"))
+    twice = duplicate_keys(terms.where("source_term_norm is not null")).groupBy("file_path").agg(F.min("source_term_norm").alias("_k")).select("file_path", F.concat(F.lit("key twice: "), F.col("_k")).alias("problem"))
+    return heads.where("problem is not null").select("file_path", "problem").unionByName(first).unionByName(twice)
+
+
+def load_glossary(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """:func:`read_glossary_files` with normalised forms, all or nothing: any problem in any file is an error that names them."""
+    files = spark.read.text(sorted(paths), wholetext=True).select(F.input_file_name().alias("file_path"), F.col("value").alias("content"))
+    problems = file_problems(files).orderBy("file_path", "problem").limit(20).collect()
+    if problems:
+        raise ValueError("; ".join(f"{r.file_path}: {r.problem}" for r in problems))
+    rows = read_glossary_files(spark, paths)
+    return rows.withColumn("source_term_norm", normalize(F.col("source_term"), F.col("source_lang"))).withColumn("term_id", F.col("file_order").cast("bigint"))
+
+
+def with_reverse(terms: DataFrame) -> DataFrame:
+    """Explicit terms, and the terms derived from them the other way round behind them: ``derived`` tells which."""
+    columns = ["term_id", "file_order", "source_term", "source_lang", "target_term", "target_lang", "source_term_norm"]
+    return terms.select(*columns, F.lit(False).alias("derived")).unionByName(reverse_terms(terms).select(*columns, F.lit(True).alias("derived")))
+
+
 def duplicate_keys(terms: DataFrame) -> DataFrame:
     """Keys that occur more than once within a file."""
     return terms.groupBy("file_path", "source_term_norm", "source_lang", "target_lang").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -1,7 +1,9 @@
-"""Sinks: JSON lines, vector collections, run logs, corrections, manifests. Spark's committer makes each write all or nothing."""
+"""Sinks: JSON lines, vector collections, run logs, corrections, manifests. Replacing ones are written beside the old and swapped in."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,39 @@ from pyspark.sql import functions as F
 def write_lines(df: DataFrame, record: Column, path: str, order: str | None = None) -> None:
     """One JSON line per row, in order if one is named."""
     ordered = df.orderBy(order) if order else df
-    ordered.select(record.alias("value")).write.mode("overwrite").text(path)
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    ordered.select(record.alias("value")).write.text(new)
+    _swap(df.sparkSession, new, path)
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put ``new`` in the place of ``path`` by renaming; the old one goes only when the new one stands."""
+    jvm = spark._jvm
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{new}-old"))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = system.exists(target)
+    if had and not system.rename(target, old):
+        raise OSError(f"cannot move {path}")
+    if not system.rename(fresh, target):
+        if had:
+            system.rename(old, target)
+        raise OSError(f"cannot put {path} in place")
+    if had:
+        system.delete(old, True)
 
 
 def build_collection(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").parquet(path)
+    """A collection built beside the old one and swapped in when complete; a failure leaves the old one."""
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    chunks.write.parquet(new)
+    _swap(chunks.sparkSession, new, path)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest's one row as JSON, swapped in when complete."""
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    manifest.coalesce(1).write.json(new)
+    _swap(manifest.sparkSession, new, path)
 
 
 def append_collection(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:

@@ -75,11 +75,18 @@ def fold(events: DataFrame, rule, key: str, order: str, ts: str = "ts") -> DataF
     return base.groupBy(key).applyInPandas(run, f"{order} {kind[order]}, admitted boolean")
 
 
-def fold_stream(events: DataFrame, rule, key: str, order: str, ts: str = "ts") -> DataFrame:
-    """The same over a stream: ``key, order, admitted``; a key's state is kept between batches."""
+def fold_stream(events: DataFrame, rule, key: str, order: str, ts: str = "ts", expire: str = "1 day") -> DataFrame:
+    """The same over a stream: ``key, order, admitted``; a key's state is kept between batches, until nothing came for ``expire``.
+
+    Events without a time are left out. Those of one batch are folded in order of
+    time, batches as they come.
+    """
     kind = {f.name: f.dataType.simpleString() for f in events.schema}
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = list(state.get[0]) if state.exists else rule.start()
         g = pd.concat(list(batches)).sort_values(["t", order])
         out = []
@@ -87,10 +94,12 @@ def fold_stream(events: DataFrame, rule, key: str, order: str, ts: str = "ts") -
             now, ok = rule.step(now, float(t))
             out.append(ok)
         state.update((now,))
+        state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame({key: k[0], order: g[order], "admitted": out})
 
-    base = events.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return base.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {order} {kind[order]}, admitted boolean", "s array<double>", "append", "NoTimeout")
+    milliseconds = int(pd.Timedelta(expire).total_seconds() * 1000)
+    base = events.where(F.col(ts).isNotNull()).select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    return base.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {order} {kind[order]}, admitted boolean", "s array<double>", "append", "ProcessingTimeTimeout")
 
 
 def run_log(stream: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from qirtas.operators import diagnostics, embedding, operations
-from qirtas.plans import pipeline
+from qirtas.operators import corpus, diagnostics, embedding, glossary, operations
+from qirtas.plans import documents, pipeline
 from qirtas.sources import jsonl, sinks
 from qirtas.streaming import limits
 
@@ -69,3 +69,81 @@ def test_run_log_stream(spark, tmp_path):
     q = limits.run_log(stream).writeStream.format("memory").queryName("log").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.node, r.n) for r in spark.table("log").collect()} == want
+
+
+def test_swapped_sinks(spark, tmp_path):
+    path = str(tmp_path / "c")
+    sinks.build_collection(spark.range(3).selectExpr("string(id) as chunk_id"), path)
+    failing = spark.range(2).selectExpr("string(id) as chunk_id", "if(id = 1, raise_error('no'), 1) as v")
+    with pytest.raises(Exception, match="no"):
+        sinks.build_collection(failing, path)
+    assert sinks.collection_size(spark, path) == 3
+    sinks.build_collection(spark.range(5).selectExpr("string(id) as chunk_id"), path)
+    assert sinks.collection_size(spark, path) == 5
+    sinks.write_manifest(operations.manifest(spark.createDataFrame([("a", "h", 1)], "path string, sha256 string, size bigint"), ["m"]), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().n_files == 1
+
+
+def test_strict_pairs_and_literals(spark, tmp_path):
+    good = '{"source_sentence": "a", "target_sentence": "b"}\n'
+    (tmp_path / "p.jsonl").write_text(good * 3 + "\n")
+    assert jsonl.read_pairs_strict(spark, str(tmp_path / "p.jsonl"), 3).count() == 3
+    with pytest.raises(Exception, match="blank line"):
+        jsonl.read_pairs_strict(spark, str(tmp_path / "p.jsonl"), 9).collect()
+    (tmp_path / "e.jsonl").write_text("")
+    with pytest.raises(ValueError):
+        jsonl.read_pairs_strict(spark, str(tmp_path / "e.jsonl"), 9)
+    assert jsonl.literal_or_file(spark, str(tmp_path / "p.jsonl"), str(tmp_path)).startswith("{")
+    assert jsonl.literal_or_file(spark, "a text", str(tmp_path)) == "a text"
+    with pytest.raises(ValueError):
+        jsonl.literal_or_file(spark, str(tmp_path / "p.jsonl"), str(tmp_path / "x"))
+
+
+def test_glossary_files(spark, tmp_path):
+    term = {"source_term": "عقد", "source_lang": "ar", "target_term": "contract", "target_lang": "en", "law_ref": "l"}
+    head = {"domain": "d", "version": "1", "last_updated": "2020"}
+    files = {"a": {**head, "terms": [term, {**term, "source_term": "بيع", "target_term": "sale"}]}, "b": {**head, "terms": [{**term, "target_lang": "xx"}]}, "c": {"domain": "d", "terms": [term]}, "d": {**head, "terms": []}, "e": [1], "f": {**head, "terms": [term, term]}}
+    for name, x in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, ensure_ascii=False))
+    rows = spark.createDataFrame([(n, (tmp_path / f"{n}.json").read_text()) for n in files], "file_path string, content string")
+    got = {r.file_path: r.problem for r in glossary.file_problems(rows).collect()}
+    assert set(got) == set("bcdef") and got["c"].endswith("version, last_updated") and got["b"] == "term 0: unknown language" and got["f"].startswith("key twice")
+    loaded = glossary.load_glossary(spark, [str(tmp_path / "a.json")])
+    assert [(r.file_order, r.source_term_norm) for r in sorted(loaded.collect(), key=lambda r: r.file_order)] == [(0, "عقد"), (1, "بيع")]
+    both = glossary.with_reverse(loaded)
+    assert sorted((r.source_term, r.derived) for r in both.collect()) == [("contract", True), ("sale", True), ("بيع", False), ("عقد", False)]
+    with pytest.raises(ValueError, match="unknown language"):
+        glossary.load_glossary(spark, [str(tmp_path / f"{n}.json") for n in "ab"])
+
+
+def test_corpus_files(spark, tmp_path):
+    text = "LAW: Civil\nSOURCE: x\nLANG: en\n---\nARTICLE 1\n\n  body of it\nmore\nARTICLE 2\nlast"
+    (tmp_path / "l_en.txt").write_text(text)
+    rows = corpus.parse_corpus(corpus.read_corpus(spark, str(tmp_path / "l_en.txt"))).collect()
+    assert len(rows) == 2 and all(text[r.char_start :].startswith(r.text) for r in rows)
+    (tmp_path / "bad.txt").write_bytes(b"LAW: \xff")
+    with pytest.raises(Exception, match="not UTF-8"):
+        corpus.read_corpus(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def test_translated_files(spark):
+    from tests.test_pipeline import document
+
+    files = spark.createDataFrame([("a.docx", bytearray(document()))], "path string, content binary")
+    out, told = documents.translate_files(files, lambda p: p.str.split("\n").str[1].str.upper())
+    from qirtas.sources import office
+
+    assert [s[2] for s in office.read_segments(bytes(out.first().content))] == ["HELLO WORLD"]
+    assert told.first().translated == 1
+    out, told = documents.translate_files(files, lambda p: p.map(lambda x: None), most_chars=3)
+    assert told.first().skipped == 1 and [s[2] for s in office.read_segments(bytes(out.first().content))] == ["Hello world"]
+
+
+def test_reaudit(spark):
+    state = spark.createDataFrame([(1, "t", "ar-en", "d", "d"), (2, "u", "ar-en", "e", "e")], "request_id int, text string, direction string, draft string, final_output string")
+    audit = F.struct(F.lit("APPROVE").alias("verdict"), F.lit("").alias("critique"), F.array().cast("array<string>").alias("violations"), F.lit(1.0).alias("confidence"))
+    state = state.withColumn("audit", audit).withColumn("warnings", F.array().cast("array<string>"))
+    out, _ = pipeline.apply_edits(state, spark.createDataFrame([(2, "better")], "request_id int, edited_draft string"))
+    rows = {r.request_id: r for r in pipeline.reaudit(out, lambda p: p.map(lambda x: '{"verdict": "REVISE", "confidence": 0.2}')).collect()}
+    assert rows[1].audit.verdict == "APPROVE" and not rows[1].warnings
+    assert rows[2].audit.verdict == "REVISE" and rows[2].final_output == "better" and rows[2].warnings
