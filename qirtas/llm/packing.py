@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,13 @@ def encoder(path: str):
 def with_tokens(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id``, ``n_tokens``; a null text has none."""
 
+    # The vocabulary file travels to the executors, which needn't have one of their own.
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = Path(tokenizer).name
+
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        own = encoder(tokenizer)
+        own = encoder(SparkFiles.get(name))
         return pd.Series(np.array([len(own.encode_ordinary(t.encode("utf-8", "replace").decode())) if t else 0 for t in texts], dtype=np.int32))
 
     return df.select(df[key].cast("bigint").alias("doc_id"), count(df[text]).alias("n_tokens"))
