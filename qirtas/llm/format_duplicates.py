@@ -26,7 +26,7 @@ LETTERS, COUNTERS = "aeiourstnlcdmاليمنرتوهبعدسقفحك的人一法
 def _invariant(fields: Sequence[Column]) -> Column:
     """Hash of what formatting can't change and one look at the raw text tells: how many letters there are, and of which kinds."""
     joined = F.lower(F.concat_ws("", *fields))
-    return F.xxhash64(*[F.length(joined) - F.length(F.translate(joined, LETTERS[i::COUNTERS], "")) for i in range(COUNTERS)])
+    return F.xxhash64(*[F.length(joined) - F.length(F.regexp_replace(joined, f"[{LETTERS[i::COUNTERS]}]+", "")) for i in range(COUNTERS)])
 
 
 def format_duplicate_groups(df: DataFrame, id_col: str, fields: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
