@@ -26,7 +26,7 @@ LETTERS, COUNTERS = "aeiourstnlcdmاليمنرتوهبعدسقفحك的人一法
 def _invariant(fields: Sequence[Column]) -> Column:
     """Hash of what formatting can't change and one look at the raw text tells: how many letters there are, and of which kinds."""
     joined = F.lower(F.concat_ws("", *fields))
-    return F.xxhash64(*[F.length(joined) - F.length(F.regexp_replace(joined, f"[{LETTERS[i::COUNTERS]}]+", "")) for i in range(COUNTERS)])
+    return F.xxhash64(*[F.length(joined) - F.length(F.translate(joined, LETTERS[i::COUNTERS], "")) for i in range(COUNTERS)])
 
 
 def format_duplicate_groups(df: DataFrame, id_col: str, fields: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -49,7 +49,8 @@ def format_duplicate_groups(df: DataFrame, id_col: str, fields: Sequence[str], w
     names = [f"_f{i}" for i in range(len(fields))]
     parts = [f"_w{i}" for i in range(len(within))]
     base = df.select(F.col(id_col).alias("member_id"), *[df[c].alias(p) for c, p in zip(within, parts, strict=True)], *[df[c].cast("string").alias(n) for c, n in zip(fields, names, strict=True)]).where("member_id is not null")
-    cheap = base.withColumn("_class", F.xxhash64(_invariant([F.col(n) for n in names]), *parts))
+    # Both passes read the invariants, so they are computed once.
+    cheap = written(base.withColumn("_class", F.xxhash64(_invariant([F.col(n) for n in names]), *parts)), "format-classes")
     classes = cheap.groupBy("_class").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1").select(F.col("_class").alias("_several"))
     suspects = keep_members(cheap, "_class", classes, "_several")
     # The exact key: the normalised fields themselves, nulls kept apart, behind a 256-bit digest.
