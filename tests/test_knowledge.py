@@ -147,3 +147,51 @@ def test_lookup_without_shared_trigrams(spark):
     e = spark.createDataFrame([(1, "abc", "x", "en"), (2, "abc", "y", "fr"), (3, "zzzzzz", "z", "en")], "id bigint, source_sentence string, target_sentence string, source_lang string")
     q = spark.createDataFrame([(1, "ab", "en"), (2, "qq", "en"), (3, None, "en"), (4, "", "en")], "query_id bigint, text string, lang string")
     assert [(r.query_id, r.entry_id, r.similarity) for r in memory.lookup(q, e, 0.6).collect()] == [(1, 1, 0.8)]
+
+
+def test_vectors_stay_off_the_driver(spark, monkeypatch):
+    """Blocks of queries meet blocks of rows: the same neighbours as by brute force, equal vectors, zeros and NaN included."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 11)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 6)).astype(np.float32)
+    v[40:50] = v[3]
+    v[50], v[51, 2] = 0, np.nan
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (None, v[0].tolist())], "vec_id bigint, embedding array<float>").repartition(3)
+
+    def refuse(*_):
+        raise AssertionError("vectors must not go through the driver")
+
+    monkeypatch.setattr(type(df), "toPandas", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    got = {(r.query_id, r["rank"]): r.neighbour_id for r in vectors.nearest(df.where("vec_id < 30"), df, 4).collect()}
+    u = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-30)
+    d = np.round(1 - (u[:30, None, :] * u[None]).sum(2), 12)
+    assert got == {(q, r + 1): int(i) for q in range(30) for r, i in enumerate(np.lexsort((np.arange(60), d[q]))[:4])}
+
+
+def test_shared_trigrams_by_blocks(spark, monkeypatch):
+    """Blocks of entries and queries give what counting all shared trigrams gives, short texts, ties and other languages included, without a posting shuffled."""
+    from qirtas.operators import grams
+
+    monkeypatch.setattr(grams, "ENTRIES", 9)
+    monkeypatch.setattr(grams, "QUERIES", 4)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcd عقد😀"), n)) for n in rng.integers(0, 40, 80)] + ["a", "ab", "", " A  b ", None]
+    df = spark.createDataFrame([(i, t, "en" if i % 3 else "ar", "x") for i, t in enumerate(texts)], "id bigint, source_sentence string, source_lang string, target_sentence string").repartition(3)
+
+    def refuse(*_):
+        raise AssertionError("postings must not be shuffled")
+
+    monkeypatch.setattr(memory, "postings", refuse)
+    asked = df.select(F.col("id").alias("query_id"), F.col("source_sentence").alias("text"), F.col("source_lang").alias("lang"))
+    got = sorted((r.query_id, r["rank"], r.entry_id, r.shared) for r in memory.candidates(asked, df, 3).collect())
+    own = {}
+    for i, t in enumerate(texts):
+        t = re.sub(r"\s+", " ", t or "").strip().lower()
+        own[i] = {t} - {""} if len(t) < 3 else {f" {t} "[j : j + 3] for j in range(len(t))}
+    want = []
+    for q in own:
+        best = sorted((-len(own[q] & own[e]), e) for e in own if (e % 3 == 0) == (q % 3 == 0) and own[q] & own[e])[:3]
+        want += [(q, r + 1, e, -n) for r, (n, e) in enumerate(best)]
+    assert got == want
