@@ -69,13 +69,14 @@ TOKEN = re.compile(r"[^\W\d_]+|#")
 UNSPACED = re.compile("[㐀-鿿ก-๛]+")
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿‪-‮⁦-⁩ـً-ْ]")
 _FOLD = str.maketrans(dict(zip(*mapping(), strict=True)))
-_FOLDED = re.compile("[" + "".join(map(re.escape, mapping()[0])) + "]")
+_FOLDED = frozenset(mapping()[0])
 _ALEF = tuple(zip("أإآٱى", "ااااي", strict=True))
 
 
 def fold(text: str) -> str:
     """Lower case with look-alikes mapped and invisible characters, tatweel and vowel marks removed."""
-    if _FOLDED.search(text):
+    # A set, not an expression: one of so many letters takes milliseconds a text.
+    if not text.isascii() and not _FOLDED.isdisjoint(text):
         text = text.translate(_FOLD)
     for variant, letter in _ALEF:
         text = text.replace(variant, letter)
