@@ -96,6 +96,30 @@ def test_alignment_of_long_articles(spark, monkeypatch):
     assert {(150, 110), (151, 110), (152, 100 + len(target) - 1), (140, 100)} <= want
 
 
+def test_translation_tables_count_every_pair(spark):
+    """More pairs than a sample of 6,000 would hold, long ones among them; matrices and joins give what the list gives."""
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aei" for c in "lmn"]
+    rows = []
+    for n in range(7000):
+        own = [words[min(len(words) - 1, int(rng.expovariate(0.1)))] for _ in range(rng.randint(1, 7))] + [f"{n}"] * (n % 2)
+        rows.append(("xx", "en", " ".join("x" + w for w in own), " ".join(own)) if n % 3 else ("en", "xx", " ".join(own), " ".join("x" + w for w in own)))
+    rows += [("en", "yy", f"Only{'abcd'[n]} rare", f"yonly{'abcd'[n]} yrare") for n in range(4)]
+    rows += [("en", "zz", "long " * 2000, "zlong 1") for _ in range(4)] + [("en", "en", "same", "same"), ("en", "xx", None, "x"), (None, "xx", "a", "b")]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "id bigint, source_lang string, target_lang string, source_sentence string, target_sentence string")
+    want = bitext.learn_tables([r for r in rows if None not in r and r[0] != r[1]])
+    assert want["en", "zz"] == {"long": {"zlong": 1.0}} and want["en", "yy"] == {"rare": {"yrare": 1.0}}
+    for cells in (bitext.MATRIX_CELLS, 10, 0):
+        got = bitext.learn(df, cells)
+        assert {k: {w for w, v in t.items() if v} for k, t in got.items()} == {k: {w for w, v in t.items() if v} for k, t in want.items()}
+        for k, table in want.items():
+            for w, known in table.items():
+                assert got[k].get(w, {}) == pytest.approx(known, abs=1e-4)
+    assert bitext.learn(df.limit(0)) == {}
+    for text in ("Straße №12 ２０号 Ｅ-mail ١٢ عقد", "依照第3561条，1941年", "x²y ①一二三"):
+        assert bitext._words(text) == {w for w in bitext.bag(text) if not w[0].isdigit()}
+
+
 def canon(t: str) -> str:
     source, target = lookalikes.mapping()
     t = "".join(c for c in t if unicodedata.category(c) != "Cf")
