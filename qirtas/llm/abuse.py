@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qirtas.llm.lookalikes import mapping
-from qirtas.llm.sampling import smallest_hashes
-
-#: Documents whose words train the character model, and labelled documents that fit the classifier: bounds on the driver's work. All documents are scored.
-SAMPLE_DOCS, SAMPLE_LABELLED = 1500, 2000
-#: Longest text taken into a sample.
-SAMPLE_CHARS = 12_000
+from qirtas.plans.lineage import written
+from qirtas.plans.skew import keep_members
+
+#: Commonest words of all documents that the character model knows besides the vocabulary.
+MODEL_WORDS = 30_000
+#: Labelled documents that are fitted together, about; the weights of all blocks are averaged.
+LABELLED_BLOCK = 2000
+#: Different pieces of text and readings of sentences that a task keeps at a time.
+KEPT = 200_000
+#: Weight above which a feature outside the prior is kept.
+LEAST_WEIGHT = 0.02
 #: Score from which a document counts as abusive: the probability of its worst sentence.
 THRESHOLD = 0.5
 
@@ -292,6 +297,20 @@ class _WordWeights(dict):
         return total
 
 
+class _Kept(dict):
+    """Results of a function of a sentence; sentences repeat, so they are kept."""
+
+    def __init__(self, function: Callable[[str], float]):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, sentence: str) -> float:
+        if len(self) > KEPT:
+            self.clear()
+        self[sentence] = out = self.function(sentence)
+        return out
+
+
 class Scorer:
     """Restores sentences and scores them; weights and models are bounded, so they travel with the tasks."""
 
@@ -313,6 +332,7 @@ class Scorer:
         self.pairs = {tuple(k[2:].split(" ", 1)): v for k, v in w.items() if k.startswith("b=")}
         self.runs = {k[2:]: v for k, v in w.items() if k.startswith("u=")}
         self.words = _WordWeights(w)
+        self.odds = _Kept(self.log_odds)
 
     def log_odds(self, sentence: str) -> float:
         """Log odds that a restored sentence is abusive."""
@@ -329,7 +349,7 @@ class Scorer:
 
     def score(self, text: str) -> float:
         """The probability of the worst sentence of the restored text."""
-        top = max(map(self.log_odds, sentences_of(self.restored(text))), default=-math.inf)
+        top = max(map(self.odds.__getitem__, sentences_of(self.restored(text))), default=-math.inf)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, top))))
 
 
@@ -382,6 +402,15 @@ class _Design:
 
 
 def fit(model: CharModel, texts: list[str], marks: list[int], steps: int = 50) -> Scorer:
+    """A scorer with the weights of :func:`fit_weights` that count."""
+    return Scorer(model, _counting(fit_weights(model, texts, marks, steps)))
+
+
+def _counting(weights: dict[str, float]) -> dict[str, float]:
+    return {f: v for f, v in weights.items() if abs(v) > LEAST_WEIGHT or f in PRIOR}
+
+
+def fit_weights(model: CharModel, texts: list[str], marks: list[int], steps: int = 50) -> dict[str, float]:
     """A linear classifier of sentences learned from marks of whole documents.
 
     A document marked 0 has no abusive sentence, one marked 1 at least one: which,
@@ -390,7 +419,7 @@ def fit(model: CharModel, texts: list[str], marks: list[int], steps: int = 50) -
     """
     x = _Design(texts, model)
     if not x.size:
-        return Scorer(model, dict(PRIOR))
+        return dict(PRIOR)
     y = np.asarray(marks, dtype=bool)
     half = np.arange(len(texts)) % 2 == 0
 
@@ -421,29 +450,81 @@ def fit(model: CharModel, texts: list[str], marks: list[int], steps: int = 50) -
         for d in both[side]:
             judged[x.docs[d]] = by_half[other][x.docs[d]]
     w = x.learn(*chosen((by_half[0] + by_half[1]) / 2, both, judged), steps)
-    return Scorer(model, {f: float(v) for f, v, p in zip(x.names, w, x.prior, strict=True) if abs(v) > 0.02 or p})
+    return dict(zip(x.names, w.tolist(), strict=True))
+
+
+def _model_words(text: str) -> list[str]:
+    return [w for w in TOKEN.findall(UNSPACED.sub(" ", fold(text))) if w != "#" and not re.search(r"(.)\1\1", w)]
+
+
+def _character_model(common: list[tuple[str, int]]) -> CharModel:
+    return CharModel(Counter({w: n for w, n in common if n > 1}), (w for k, ws in KINDS.items() if k not in ("you", "group") for w in ws))
 
 
 def character_model(texts: Iterable[str]) -> CharModel:
-    """The character model of the vocabulary and of the words of sample texts."""
-    seen = Counter(w for t in texts for w in TOKEN.findall(UNSPACED.sub(" ", fold(t))) if w != "#" and not re.search(r"(.)\1\1", w))
-    return CharModel(Counter({w: n for w, n in seen.most_common(30_000) if n > 1}), (w for k, ws in KINDS.items() if k not in ("you", "group") for w in ws))
+    """The character model of the vocabulary and of the words of texts."""
+    return _character_model(Counter(w for t in texts for w in _model_words(t)).most_common(MODEL_WORDS))
+
+
+def document_model(documents: DataFrame, text: str) -> CharModel:
+    """:func:`character_model` of the words of all documents, counted by the tasks that read them."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Folding works letter by letter within words, so pieces between spaces are folded once each.
+        pieces: Counter = Counter()
+
+        def words() -> pd.DataFrame:
+            out: Counter = Counter()
+            for piece, n in pieces.items():
+                for w in _model_words(piece):
+                    out[w] += n
+            pieces.clear()
+            return pd.DataFrame({"w": list(out), "n": list(out.values())}).astype({"w": object, "n": "int64"})
+
+        for b in batches:
+            for t in b["_t"]:
+                pieces.update(t.split())
+                if len(pieces) > KEPT:
+                    yield words()
+        yield words()
+
+    counts = documents.select(documents[text].alias("_t")).where("length(_t) > 0").mapInPandas(counted, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return _character_model([(r.w, r.n) for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(MODEL_WORDS).collect()])
 
 
-def marked_texts(documents: DataFrame, key: str, text: str, labels: DataFrame, mark: str = "abusive", rows: int = SAMPLE_LABELLED) -> tuple[list[str], list[int]]:
-    """Texts and marks of up to ``rows`` labelled documents: the reviewers' majority; ties and null marks are left out."""
+def marked_texts(documents: DataFrame, key: str, text: str, labels: DataFrame, mark: str = "abusive") -> DataFrame:
+    """``_id``, ``_t``, ``_y`` of every labelled document that holds text: the mark of the reviewers' majority; ties and null marks are left out."""
     votes = labels.where(F.col(mark).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg((2 * F.sum(mark) - F.count(F.lit(1))).alias("_v")).where("_v <> 0")
-    few = smallest_hashes(votes, F.xxhash64("_id"), rows).select("_id", "_v")
-    found = documents.select(documents[key].alias("_id"), documents[text].alias("_t")).join(F.broadcast(few), "_id").where(F.length("_t").between(1, SAMPLE_CHARS)).orderBy("_id").collect()
-    return [r["_t"] for r in found], [int(r["_v"] > 0) for r in found]
+    votes = written(votes.select("_id", (F.col("_v") > 0).cast("int").alias("_y")), "votes")
+    texts = documents.select(documents[key].alias("_id"), documents[text].alias("_t")).where("length(_t) > 0")
+    return keep_members(texts, "_id", votes, "_id").join(votes, "_id").select("_id", "_t", "_y")
+
+
+def marked_weights(marked: DataFrame, model: CharModel) -> dict[str, float]:
+    """The classifier's weights from all of :func:`marked_texts`.
+
+    Documents fall into blocks of about LABELLED_BLOCK by their hashed ids, tasks
+    fit a block each by :func:`fit_weights`, and the weights are averaged over all
+    documents: a feature that a block doesn't hold counts with its prior there.
+    """
+    marked = written(marked, "marked")
+    n = marked.count()
+    shared = marked.sparkSession.sparkContext.broadcast(model)
+
+    def block(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_id")
+        own = fit_weights(shared.value, g["_t"].tolist(), g["_y"].tolist())
+        return pd.DataFrame({"f": list(own), "v": np.array(list(own.values())) * len(g)})
+
+    parts = marked.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(max(1, round(n / LABELLED_BLOCK))))).groupBy("_b").applyInPandas(block, "f string, v double")
+    total = parts.groupBy("f").agg((F.sum("v") / max(1, n)).alias("v"))
+    return dict(PRIOR) | {r.f: r.v for r in total.where((F.abs("v") > LEAST_WEIGHT) | F.col("f").isin(list(PRIOR))).collect()}
 
 
-def train_scorer(documents: DataFrame, key: str, text: str, labels: DataFrame, rows: int = SAMPLE_DOCS) -> Scorer:
-    """A scorer whose character model knows the vocabulary and a bounded sample of documents, and whose classifier is fitted on a bounded sample of labelled ones."""
-    base = documents.select(documents[key].alias("_id"), documents[text].alias("_t")).where(F.length("_t").between(1, SAMPLE_CHARS))
-    background = [r["_t"] for r in smallest_hashes(base, F.xxhash64("_id"), rows).select("_t").collect()]
-    texts, marks = marked_texts(documents, key, text, labels)
-    return fit(character_model(background + texts), texts, marks)
+def train_scorer(documents: DataFrame, key: str, text: str, labels: DataFrame) -> Scorer:
+    """A scorer whose character model knows the vocabulary and the words of all documents, and whose classifier is fitted on all labelled ones."""
+    model = document_model(documents, text)
+    return Scorer(model, marked_weights(marked_texts(documents, key, text, labels), model))
 
 
 def scored(documents: DataFrame, key: str, text: str, scorer: Scorer, keep: list[str] | None = None) -> DataFrame:

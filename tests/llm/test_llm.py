@@ -339,6 +339,32 @@ def test_fitting_without_marks(spark):
     assert scorer.score("You filthy moron!") >= abuse.THRESHOLD > scorer.score("The court met.")
 
 
+def test_fitting_on_all_marks(spark, monkeypatch):
+    """Every labelled document counts, however long, in blocks whose weights are averaged; the words of all documents are counted."""
+    monkeypatch.setattr(abuse, "LABELLED_BLOCK", 40)
+    rng = random.Random(9)
+    docs = [(n, " ".join([*rng.choices(LEGAL, k=4), *([rng.choice(RUDE) + " You are a zorgon."] if n % 3 == 0 else [])]), n % 3 == 0) for n in range(100)]
+    docs += [(n, "The court met on that day, as it was bound to. " * 300 + ("You filthy zorgon, you moron!" if n % 2 else "The case was closed."), n % 2 == 1) for n in range(100, 120)]
+    unmarked = [(500, "ａn аncient quorl\u200bum, Quorlum. Ὀδυσσεύς ΟΔΥΣΣΕΥΣ\u00a0x\u3000y 买受人 ผู้ซื้อ"), (501, None), (502, "")]
+    df = spark.createDataFrame([d[:2] for d in docs] + unmarked, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(n, int(y)) for n, _, y in docs] + [(700, 1), (None, 1), (1, None)], "doc_id bigint, abusive int")
+    scorer = abuse.train_scorer(df, "doc_id", "text", marks)
+    whole = abuse.character_model([t for _, t, *_ in docs + unmarked if t])
+    assert scorer.model.grams == whole.grams and scorer.model.children[0].keys() == whole.children[0].keys() and scorer.restored("qu0rlum") == "quorlum"
+    blocks = defaultdict(list)
+    for r in df.where("doc_id < 500").select("doc_id", F.expr("pmod(xxhash64(doc_id), 3)").alias("b")).collect():
+        blocks[r.b].append(r.doc_id)
+    want = Counter()
+    for ids in blocks.values():
+        for f, v in abuse.fit_weights(whole, [docs[i][1] for i in sorted(ids)], [int(docs[i][2]) for i in sorted(ids)]).items():
+            want[f] += v * len(ids) / len(docs)
+    want = abuse._counting(want)
+    assert len(blocks) == 3 and scorer.weights.keys() == want.keys() and all(scorer.weights[f] == pytest.approx(v, abs=1e-6) for f, v in want.items())
+    long = [n for n, *_ in docs[100:]]
+    only = abuse.train_scorer(df.where(F.col("doc_id").isin(long)), "doc_id", "text", marks)
+    assert only.weights.get("w=zorgon", 0.0) > 0.02
+
+
 def test_smallest_hashes(spark):
     df = spark.range(20000).withColumn("_h", F.lit("x"))
     few = [r.id for r in smallest_hashes(df.drop("_h"), F.xxhash64("id"), 100).collect()]
